@@ -23,7 +23,7 @@ def duck(sf: str, sql: str) -> pd.DataFrame:
 
 def norm(df: pd.DataFrame) -> list[tuple]:
     def v(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
             return None
         if isinstance(x, bool):
             return x

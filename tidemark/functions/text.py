@@ -37,8 +37,8 @@ def name_key(col: Column) -> Column:
     """Lower case, no accents, plain ' and -, single spaces, none outside. Null stays null, blank becomes ''."""
     low = F.lower(col)
     plain = F.translate(strip_accents(low), APOSTROPHES + HYPHENS, "'" * len(APOSTROPHES) + "-" * len(HYPHENS))
-    folded = F.when(low.rlike(r"[^\x00-\x7f]|`"), plain).otherwise(low)
-    return F.trim(F.regexp_replace(folded, BLANKS, " "))
+    folded = F.trim(F.regexp_replace(plain, BLANKS, " "))
+    return F.when(low.rlike(r"[^!-_a-~ ]|  "), folded).otherwise(F.trim(low))  # most names need no folding
 
 
 def label_key(col: Column) -> Column:
