@@ -1,4 +1,77 @@
 """Queries on texts (problems 8 to 10)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.leakage import leaks
+from tidemark.llm.packing import pack
+from tidemark.llm.toxicity import scores, train
+from tidemark.session import table
+
+
+# --- 8: filling windows ---
+def p8_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, piece, start, tokens, window): every text in windows of 2,048 tokens."""
+    return pack(table(spark, sf, "documents"), "doc_id", "text", "source").withColumnRenamed("doc", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows, pieces, tokens, and the share of the windows' room that is used."""
+    w = p8_windows(spark, sf).groupBy("window").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("p"))
+    return w.agg(F.count(F.lit(1)).alias("windows"), F.sum("p").alias("pieces"), F.sum("t").alias("tokens"), F.round(F.sum("t") / (F.count(F.lit(1)) * 2048), 4).alias("fill"))
+
+
+# --- 9: leaking evaluation texts ---
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, item_id): documents with at least twelve words in a row of the item's own wording."""
+    return _leaks(spark, sf).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks with the number of windows found and the longest run of words."""
+    return _leaks(spark, sf).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", "longest")
+
+
+# --- 10: abuse, hate, sexual content ---
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document: score, toxic passages, scores by class, flag."""
+    docs = table(spark, sf, "documents")
+    model = train(docs, "doc_id", "text", table(spark, sf, "review_labels"), "doc_id", "verdict")
+    return scores(docs, "doc_id", "text", "source", model).withColumnRenamed("doc", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id): documents with abuse of persons, hate against groups or sexual content."""
+    return p10_scores(spark, sf).where("flagged").select("doc_id")
+
+
+def p10_source_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, flagged documents and their share per source, with the class of the strongest passage."""
+    s = p10_scores(spark, sf)
+    top = F.greatest("abuse", "hate", "sexual")
+    return s.groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if("flagged").alias("flagged"),
+        F.count_if(F.col("flagged") & (F.col("abuse") == top)).alias("abuse"),
+        F.count_if(F.col("flagged") & (F.col("hate") == top)).alias("hate"),
+        F.count_if(F.col("flagged") & (F.col("sexual") == top)).alias("sexual"),
+        F.round(F.count_if("flagged") / F.count(F.lit(1)), 6).alias("rate"),
+    )
+
+
+QUERIES = {
+    "p8_windows": p8_windows,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_source_rates": p10_source_rates,
+}
 SQL: dict = {}
