@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import label_key, name_key
+from tidemark.llm.aliases import alias_pairs, link_aliases
 from tidemark.llm.cooccur import cooccurring
 from tidemark.llm.density import core_groups, describe
 from tidemark.llm.pairwise import pair_records, plan_id, rank_items
@@ -45,6 +46,21 @@ g AS (SELECT a, b, window_start, provenance, wa, w + l AS n, greatest(count(*) F
 SELECT a, b, sum(wa * k)::BIGINT AS wins, sum(n * k)::BIGINT AS games FROM g GROUP BY a, b"""
 
 
+# --- 3: spellings of names ---
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    return link_aliases(table(spark, sf, "player_aliases"), "alias_id", "handle_norm", "player_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(alias_id_a, alias_id_b): all pairs of handles of one player or team."""
+    return alias_pairs(_entities(spark, sf)).select(F.col("a").alias("alias_id_a"), F.col("b").alias("alias_id_b"))
+
+
+def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per handle with the entity it belongs to."""
+    return _entities(spark, sf).select(F.col("id").alias("alias_id"), F.col("entity").alias("entity_id"))
+
+
 # --- 4: similar pairs ---
 def _deck_sets(spark: SparkSession, sf: str) -> DataFrame:
     return record_sets(table(spark, sf, "archetype_decks"), "deck_key", "cards")
@@ -131,6 +147,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
     "p2_pair_records": p2_pair_records,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p4_links": p4_links,
     "p5_found": p5_found,

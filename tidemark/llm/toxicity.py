@@ -23,7 +23,9 @@ SHARED = 0.3
 #: Frequent words that are always kept apart, and the word that stands for all that say nothing.
 FREQUENT, OTHER = 250, "<o>"
 #: A passage of at least so many words counts if its log-likelihood ratio reaches a total and a value per word.
-LEAST_WORDS, TOTAL, PER_WORD = 3, 12.0, 3.5
+LEAST_WORDS, TOTAL, PER_WORD = 3, 12.0, 1.2
+#: Fewer words than so many must reach a higher value each.
+FEW_WORDS, PER_FEW = 6, 4.5
 #: The same in training, where held-out ratios are lower.
 TRAIN_TOTAL, TRAIN_PER_WORD = 5.0, 1.0
 
@@ -257,7 +259,7 @@ class Model:
 
     @staticmethod
     def is_toxic(total: float, words: int) -> bool:
-        return words >= LEAST_WORDS and total >= TOTAL and total >= PER_WORD * words
+        return words >= LEAST_WORDS and total >= TOTAL and total >= (PER_WORD if words >= FEW_WORDS else PER_FEW) * words
 
     def score(self, text: str | None, remember: dict) -> tuple[float, int, dict[str, float]]:
         """Highest ratio per word of a passage, number of toxic passages, and highest ratio of each class in these."""
