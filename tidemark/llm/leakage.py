@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import html
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import _MARKED, _PLAIN
 from tidemark.session import durable
 
 #: Words of a shingle, and words in a row that make a leak.
 SHINGLE, RUN = 5, 12
-#: Blanks and dashes between words that count as a space.
-_SPACES = "              　–—/|"
-#: Item shingles up to so many rows are broadcast (about 40 MB); a larger test set is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Shingles of one block of items; a block's index (about 60 MB) goes to all workers, and larger test sets take
+#: one scan of the documents for each block.
+BLOCK_SHINGLES = 500_000
 
+_TAG = re.compile(r"</?[a-z][^<>]{0,200}>")
+_MARK = re.compile("[̀-ͯ]+")
+_OTHER = re.compile(r"[^\w\s]|_")
+# Dashes between words count as a space, other typographic signs as nothing.
+_SIGNS = {ord(c): " " for c in "–—―"} | {ord(c): None for c in "‘’‚‛“”„‟‐‑­​‌‍⁠﻿′″•·«»´`"}
+_ASCII = bytes(32 if c < 33 or chr(c) in "/|" else c for c in range(256))
+_DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "/|")
 
-def plain_words(col: Column) -> Column:
-    """Words of a text apart from case, punctuation, accents, markup and line breaks; null and '' give no words.
+
+def plain_words(text: str | None) -> list[str]:
+    """Words of a text apart from case, punctuation, accents, markup and line breaks; null and '' have none.
 
     Words are what blanks separate; inside them everything but letters and digits is dropped, so "Owl's", "owls" and
     "**Owls**" are one word.
     """
-    t = F.lower(F.coalesce(col, F.lit("")))
-    t = F.when(t.contains("<"), F.regexp_replace(t, r"</?[a-z][^<>]{0,200}>", " ")).otherwise(t)
-    named = F.regexp_replace(F.regexp_replace(t, "&nbsp;|&#160;", " "), "&([a-z])(?:acute|grave|circ|uml|tilde|cedil|ring|caron);", "$1")
-    t = F.when(t.contains("&"), F.regexp_replace(named, "&(?:#[0-9]{1,6}|#x[0-9a-f]{1,5}|[a-z]{2,8});", "")).otherwise(t)
-    t = F.when(t.rlike(r"[^\x00-\x7f]|[/|]"), F.translate(t, _MARKED + _SPACES, _PLAIN + " " * len(_SPACES))).otherwise(t)
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}\s]+", ""), r"\s+", " "))
-    return F.when(F.length(t) > 0, F.split(t, " ")).otherwise(F.array().cast("array<string>"))
-
-
-def _hashes(words: str, k: int) -> Column:
-    """Hash of each k words in a row, by position; ``words`` is an array of word hashes."""
-    w = F.col(words)
-    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
+    if not text:
+        return []
+    t = text.lower()
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    if "&" in t:
+        t = html.unescape(t).lower()
+    if not t.isascii():
+        t = _MARK.sub("", unicodedata.normalize("NFKD", t))
+        if not t.isascii():
+            t = t.translate(_SIGNS)
+            if not t.isascii():
+                return _OTHER.sub("", t.replace("/", " ").replace("|", " ")).split()
+    return t.encode().translate(_ASCII, _DROP).decode().split()
+
+
+def _words_of(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in pdfs:
+        yield p.assign(text=[plain_words(t) for t in p["text"]]).rename(columns={"text": "words"})
 
 
 def own_words(items: DataFrame, item: str, text: str, shared_by: int = 3) -> DataFrame:
@@ -43,8 +63,8 @@ def own_words(items: DataFrame, item: str, text: str, shared_by: int = 3) -> Dat
 
     The instruction is the longest run of first sentences that each stand in at least ``shared_by`` items.
     """
-    s = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+")).alias("p", "sentence"))
-    s = s.select("item", "p", plain_words(F.col("sentence")).alias("words"))
+    s = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+")).alias("p", "text"))
+    s = durable(s.mapInPandas(_words_of, f"item {dict(s.dtypes)['item']}, p int, words array<string>"))
     common = s.groupBy("words").agg(F.count_distinct("item").alias("n")).where(F.col("n") >= shared_by).select("words", F.lit(True).alias("shared"))
     s = s.join(common, "words", "left")
     start = s.where("shared is null").groupBy("item").agg(F.min("p").alias("p0"))
@@ -52,40 +72,116 @@ def own_words(items: DataFrame, item: str, text: str, shared_by: int = 3) -> Dat
     return own.select("item", F.flatten(F.transform("l", lambda x: x["words"])).alias("words"))
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = RUN, shingle: int = SHINGLE) -> DataFrame:
+class Index:
+    """Shingles of a block of items: word numbers, and the shingles as rows of word numbers in order of their key."""
+
+    _P = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, texts: list[list[str]], shingle: int):
+        self.k = shingle
+        self.number = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        rows = list(dict.fromkeys(tuple(self.number[w] for w in t[i : i + shingle]) for t in texts for i in range(len(t) - shingle + 1)))
+        ids = np.array(rows, dtype=np.int64).reshape(-1, shingle)
+        key = self._key(ids)
+        self.order = np.argsort(key, kind="stable")
+        self.keys, self.ids = key[self.order], ids[self.order]
+        self.of = {tuple(r): i for i, r in enumerate(self.ids.tolist())}
+        if len(np.unique(self.keys)) < len(self.keys):
+            raise RuntimeError("two shingles have one key; choose another multiplier")
+
+    def _key(self, ids: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(ids), dtype=np.uint64)
+        for j in range(self.k):
+            h = (h ^ ids[:, j].astype(np.uint64)) * self._P
+            h ^= h >> np.uint64(32)
+        return h
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and rows of the shingles of a sequence of word numbers (0: a word of no item); exact."""
+        k = self.k
+        if len(numbers) < k or not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        known = np.concatenate([[0], np.cumsum(numbers > 0)])
+        at = np.flatnonzero(known[k:] - known[:-k] == k)
+        ids = numbers[at[:, None] + np.arange(k)]
+        row = np.minimum(np.searchsorted(self.keys, self._key(ids)), len(self.keys) - 1)
+        ok = (self.ids[row] == ids).all(axis=1)
+        return at[ok], row[ok]
+
+
+def _hits(shared, run: int):
+    class Numbers(dict):
+        def __missing__(self, word: str) -> int:
+            return 0
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        number = Numbers(index.number).__getitem__
+        for b in batches:
+            who, size, sequence = [], [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                words = plain_words(t)
+                if len(words) >= run:
+                    who.append(i)
+                    size.append(len(words))
+                    sequence.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
+                    sequence.append(np.zeros(1, np.int64))  # no shingle spans two documents
+            if not who:
+                continue
+            at, row = index.find(np.concatenate(sequence))
+            start = np.concatenate([[0], np.cumsum(np.array(size) + 1)])
+            d = np.searchsorted(start, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc").take(pa.array(np.array(who)[d])), pa.array(np.array(size)[d].astype(np.int32)), pa.array((at - start[d]).astype(np.int32)), pa.array(row.astype(np.int32))], names=["doc", "n", "pos", "s"]
+            )
+
+    return go
+
+
+def _leaks_of(docs: DataFrame, texts: list[tuple], item_field, run: int, shingle: int) -> DataFrame:
+    spark = docs.sparkSession
+    index = Index([w for _, w in texts], shingle)
+    parts = [(i, at, index.of[tuple(index.number[x] for x in w[at : at + shingle])]) for i, w in texts for at in range(len(w) - shingle + 1)]
+    parts = spark.createDataFrame(parts, f"item {item_field}, at int, s int")
+    hits = durable(docs.mapInArrow(_hits(spark.sparkContext.broadcast(index), run), f"doc {dict(docs.dtypes)['doc']}, n int, pos int, s int"))
+    rarity = hits.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    # Windows whose shingles all are in the corpus; the rarest shingle of each is its prefix.
+    need = run - shingle + 1
+    w = Window.partitionBy("item").orderBy("at").rangeBetween(0, need - 1)
+    prefix = parts.join(rarity, "s").select("item", "at", F.count(F.lit(1)).over(w).alias("k"), F.min(F.struct("df", "s", "at")).over(w).alias("m")).where(F.col("k") == need)
+    prefix = prefix.select("item", F.col("at").alias("off"), F.col("m.s").alias("s"), (F.col("m.at") - F.col("at")).alias("delta"))
+    cand = hits.join(prefix, "s").withColumn("start", F.col("pos") - F.col("delta")).where((F.col("start") >= 0) & (F.col("start") + run <= F.col("n")))
+    cand = cand.select("doc", "item", (F.col("start") - F.col("off")).alias("d")).distinct()
+    # Verify: all shingles of the window stand in a row at the same distance between document and item.
+    full = hits.join(parts, "s").withColumn("d", F.col("pos") - F.col("at")).join(cand, ["doc", "item", "d"], "left_semi").select("doc", "item", "d", "at").distinct()
+    row = F.row_number().over(Window.partitionBy("doc", "item", "d").orderBy("at"))
+    runs = full.select("doc", "item", "d", "at", (F.col("at") - row).alias("g")).groupBy("doc", "item", "d", "g").agg(F.count(F.lit(1)).alias("len"), F.min("at").alias("first")).where(F.col("len") >= need)
+    windows = runs.select("doc", "item", (F.col("len") + shingle - 1).alias("words"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("len") - need)).alias("off"))
+    return windows.groupBy("doc", "item").agg(F.count_distinct("off").alias("windows"), F.max("words").cast("int").alias("longest"))
+
+
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = RUN, shingle: int = SHINGLE, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc, item, windows, longest): documents that hold at least ``run`` words in a row of an item's own wording.
 
     windows counts the item's windows of ``run`` words found (each once), longest the most words in a row.
 
     An item's windows are sets of shingles that a document must hold completely, so one necessary shingle is enough
     as prefix; shingles are ordered by rarity in the corpus and the rarest of each window is joined. A hit fixes
-    where the window must start: starts outside the document are dropped (length and position), and the window's
-    words are compared with the document's words. Documents or items without ``run`` words have no leak; repeated
-    documents are all reported; null ids are ignored; equal ids with different texts count as one document.
+    where the window must start: starts outside the document are dropped (length and position), and where one is
+    left all shingles of the window must stand in a row. Shingles are equal only if their words are, so this is exact.
+
+    The test set is taken in blocks of bounded size, each against all documents. Documents or items without ``run``
+    words have no leak; repeated documents are all reported; null ids are ignored; equal ids count as one document.
     """
-    own = durable(own_words(items, item, item_text)).withColumn("h", F.transform("words", lambda x: F.xxhash64(x)))
-    parts = durable(own.where(F.size("words") >= run).select("item", F.posexplode(_hashes("h", shingle)).alias("at", "s")))
-    wanted = parts.select("s").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    d = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), plain_words(F.col(text)).alias("words"))
-    d = d.where(F.size("words") >= run).select("doc", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
-    hits = d.select("doc", F.size("h").alias("n"), F.posexplode(_hashes("h", shingle)).alias("pos", "s")).join(wanted, "s")
-    hits = durable(hits.select("doc", "n", "pos", "s"))
-    rarity = hits.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    # Windows whose shingles are all in the corpus; the rarest one is the prefix.
-    in_corpus = parts.join(rarity, "s")
-    w = Window.partitionBy("item").orderBy("at").rangeBetween(0, run - shingle)
-    prefix = in_corpus.select("item", "at", F.count(F.lit(1)).over(w).alias("k"), F.min(F.struct("df", "s", "at")).over(w).alias("m"))
-    prefix = prefix.where(F.col("k") == run - shingle + 1).select("item", F.col("at").alias("off"), F.col("m.s").alias("s"), (F.col("m.at") - F.col("at")).alias("delta"))
-    cand = hits.join(prefix, "s").withColumn("start", F.col("pos") - F.col("delta")).where((F.col("start") >= 0) & (F.col("start") + run <= F.col("n")))
-    cand = durable(cand.select("doc", "item", "off", "start").distinct())
-    full = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(cand.select("doc").distinct(), "doc", "left_semi").select("doc", plain_words(F.col("text")).alias("dw"))
-    sure = cand.join(full, "doc").join(own.select("item", F.col("words").alias("iw")), "item")
-    sure = sure.where(F.slice("dw", F.col("start") + 1, run) == F.slice("iw", F.col("off") + 1, run)).select("doc", "item", "off", "start").distinct()
-    # Runs: windows that follow one another at the same distance between document and item.
-    diag = Window.partitionBy("doc", "item", F.col("start") - F.col("off")).orderBy("start")
-    runs = sure.select("doc", "item", "off", (F.col("start") - F.col("off")).alias("d"), (F.col("start") - F.row_number().over(diag)).alias("g"))
-    runs = runs.groupBy("doc", "item", "d", "g").agg(F.count(F.lit(1)).alias("len"))
-    longest = runs.groupBy("doc", "item").agg((F.max("len") + run - 1).cast("int").alias("longest"))
-    return sure.groupBy("doc", "item").agg(F.count_distinct("off").alias("windows")).join(longest, ["doc", "item"])
+    d = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    own = durable(own_words(items, item, item_text).where(F.size("words") >= run).groupBy("item").agg(F.min("words").alias("words")))
+    field = dict(own.dtypes)["item"]
+    total = own.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // block))
+    out = None
+    for b in range(blocks):
+        texts = [(r["item"], r["words"]) for r in own.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item").collect()]
+        if texts or out is None:
+            part = _leaks_of(d, texts, field, run, shingle)
+            out = part if out is None else out.unionByName(part)
+    return out
