@@ -12,7 +12,7 @@ from tidemark.session import table
 
 RESULTS = ("2-0", "2-1", "1-2", "0-2", "1-1", "2-1", "W-L")
 #: Dates that cut the corpus into regimes, as (date, card) of announcements.
-BANS = (("2023-03-01", "brineroot bargain"), ("2024-06-10", "cobaltforge surge"), ("2025-05-20", "ashglass summons"))
+BANS = (("2023-03-01", "anvilcrown ravager"), ("2024-06-10", "marrowhorn conduit"), ("2025-05-20", "bramblehook basin"))
 
 
 def decks(spark: SparkSession, sf: str) -> DataFrame:

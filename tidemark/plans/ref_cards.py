@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import cards as C
 from tidemark.plans.adapters import SQL_DECKS, cards, decks
 
-#: The archetype, signature card and list that the queries ask about.
-ARCHETYPE, SIGNATURE = "umbral goblets", "brineroot bargain"
+#: The signature card and the second card that the queries ask about.
+SIGNATURE, OTHER = "marrowhorn conduit", "copperquarry courier"
 
 
 def _main(spark, sf):
@@ -65,8 +65,8 @@ def pmi_adjacency(spark, sf):
 
 def cohort_exists(spark, sf):
     """Decks with at least 2 copies of one card and exactly 1 of another: one aggregation in place of EXISTS."""
-    m = _main(spark, sf).where(F.col("name").isin(SIGNATURE, "cobaltforge surge"))
-    h = m.groupBy("tournament_id", "deck_idx").agg(F.bool_or((F.col("name") == SIGNATURE) & (F.col("copies") >= 2)).alias("a"), F.bool_or((F.col("name") == "cobaltforge surge") & (F.col("copies") == 1)).alias("b"))
+    m = _main(spark, sf).where(F.col("name").isin(SIGNATURE, OTHER))
+    h = m.groupBy("tournament_id", "deck_idx").agg(F.bool_or((F.col("name") == SIGNATURE) & (F.col("copies") >= 2)).alias("a"), F.bool_or((F.col("name") == OTHER) & (F.col("copies") == 1)).alias("b"))
     return decks(spark, sf).join(h.where("a and b"), ["tournament_id", "deck_idx"], "left_semi").groupBy("archetype").agg(F.count(F.lit(1)).alias("decks"))
 
 
@@ -116,7 +116,7 @@ SQL = {
     "deck_vs_field": f"{_D}, {_MN}, o AS (SELECT * FROM lb WHERE deck_key = 7), p AS (SELECT * FROM lb WHERE archetype IN (SELECT archetype FROM o)), pk AS (SELECT name, copies, count(*) AS k FROM mn JOIN p USING (tournament_id, deck_idx) GROUP BY 1, 2), f AS (SELECT name, sum(k) AS decks, arg_max(copies, (k, copies)) AS modal FROM pk GROUP BY 1), h AS (SELECT name, copies, k FROM pk UNION ALL SELECT name, 0, (SELECT count(*) FROM p) - decks FROM f), me AS (SELECT name, copies AS own FROM mn JOIN o USING (tournament_id, deck_idx)), j AS (SELECT coalesce(f.name, me.name) AS name, coalesce(own, 0) AS own, coalesce(modal, 0) AS modal FROM f FULL JOIN me ON f.name = me.name), s AS (SELECT j.*, coalesce(k / (SELECT count(*) FROM p)::DOUBLE, 0) AS share FROM j LEFT JOIN h ON h.name = j.name AND h.copies = j.own AND h.k > 0) SELECT name, own, modal, own - modal AS delta, round(share, 6) AS share, share < 0.2 AND own <> modal AS outlier FROM s",
     "subgroup_split": f"{_D}, {_MN}, p AS (SELECT d.tournament_id, d.deck_idx, EXISTS (SELECT 1 FROM mn WHERE mn.tournament_id = d.tournament_id AND mn.deck_idx = d.deck_idx AND name = '{SIGNATURE}') AS has FROM d), g AS (SELECT name, coalesce(sum(copies) FILTER (WHERE has) / (SELECT count(*) FROM p WHERE has)::DOUBLE, 0) AS x, coalesce(sum(copies) FILTER (WHERE NOT has) / (SELECT count(*) FROM p WHERE NOT has)::DOUBLE, 0) AS y FROM mn JOIN p USING (tournament_id, deck_idx) GROUP BY 1) SELECT name, round(x, 6) AS with_avg, round(y, 6) AS without_avg, round(x - y, 6) AS delta FROM g",
     "pmi_adjacency": f"{_D}, {_CS}, tp AS (SELECT archetype FROM lb GROUP BY 1 ORDER BY count(*) DESC, archetype LIMIT 1), cr AS (SELECT name FROM co WHERE NOT staple AND archetype IN (SELECT archetype FROM tp)), sl AS (SELECT tournament_id, deck_idx FROM mn WHERE name IN (SELECT name FROM cr) GROUP BY 1, 2 HAVING count(*) >= greatest(3, ceil(0.6 * (SELECT count(*) FROM cr)))), x AS (SELECT name, count(*) AS n_x, count(sl.deck_idx) AS n_xs FROM mn LEFT JOIN sl ON sl.tournament_id = mn.tournament_id AND sl.deck_idx = mn.deck_idx WHERE name NOT IN (SELECT name FROM cr) GROUP BY 1) SELECT name, n_x, n_xs, round(ln(n_xs::DOUBLE * (SELECT count(*) FROM d) / (n_x::DOUBLE * (SELECT count(*) FROM sl))), 6) AS pmi FROM x WHERE n_xs >= 5",
-    "cohort_exists": f"{_D}, {_MN} SELECT archetype, count(*)::BIGINT AS decks FROM d WHERE EXISTS (SELECT 1 FROM mn WHERE mn.tournament_id = d.tournament_id AND mn.deck_idx = d.deck_idx AND name = '{SIGNATURE}' AND copies >= 2) AND EXISTS (SELECT 1 FROM mn WHERE mn.tournament_id = d.tournament_id AND mn.deck_idx = d.deck_idx AND name = 'cobaltforge surge' AND copies = 1) GROUP BY 1",
+    "cohort_exists": f"{_D}, {_MN} SELECT archetype, count(*)::BIGINT AS decks FROM d WHERE EXISTS (SELECT 1 FROM mn WHERE mn.tournament_id = d.tournament_id AND mn.deck_idx = d.deck_idx AND name = '{SIGNATURE}' AND copies >= 2) AND EXISTS (SELECT 1 FROM mn WHERE mn.tournament_id = d.tournament_id AND mn.deck_idx = d.deck_idx AND name = '{OTHER}' AND copies = 1) GROUP BY 1",
     "tfidf_l2": f"{_D}, {_TF} SELECT tournament_id, deck_idx, name, round(weight, 6) AS weight FROM tv",
     "camp_centroid": f"{_D}, {_TF} SELECT variant, name, round(weight, 6) AS weight FROM cv",
     "nearest_camp": f"{_D}, {_TF}, dt AS (SELECT tournament_id, deck_idx, cv.variant, round(sum(tv.weight * cv.weight), 9) AS s FROM tv JOIN cv USING (name) GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY tournament_id, deck_idx ORDER BY s DESC, variant) AS k FROM dt) SELECT tournament_id, deck_idx, CASE WHEN s >= 0.35 THEN variant END AS variant, round(s, 6) AS similarity FROM b WHERE k = 1",

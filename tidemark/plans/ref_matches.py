@@ -51,7 +51,7 @@ def unlabeled_coverage(spark, sf):
 
 
 def freshness(spark, sf):
-    return decks(spark, sf).groupBy("provenance").agg(F.max("date").alias("latest"), F.count(F.lit(1)).alias("decks"))
+    return decks(spark, sf).groupBy("provenance").agg(F.max("date").cast("string").alias("latest"), F.count(F.lit(1)).alias("decks"))
 
 
 def dup_guard_names(spark, sf):
@@ -130,11 +130,11 @@ def tier_list(spark, sf):
 
 
 def weekly_share_ema(spark, sf):
-    return _r6(S.weekly_ema(decks(spark, sf)), "share", "ema")
+    return _r6(S.weekly_ema(decks(spark, sf)), "share", "ema").withColumn("week", F.col("week").cast("string"))
 
 
 def ban_horizon(spark, sf):
-    return S.ban_horizon(decks(spark, sf), cards(spark, sf), _reg(spark), _bans(spark))
+    return S.ban_horizon(decks(spark, sf), cards(spark, sf), _reg(spark), _bans(spark)).withColumn("valid_since", F.col("valid_since").cast("string"))
 
 
 def _horizons(spark, sf, d):
@@ -143,7 +143,7 @@ def _horizons(spark, sf, d):
 
 def adaptive_matrix(spark, sf):
     d, r = _resolved(spark, sf)
-    return _r6(X.cross_boundary(X.adaptive(r, _horizons(spark, sf, d))), "p_shrunk")
+    return _r6(X.cross_boundary(X.adaptive(r, _horizons(spark, sf, d))), "p_shrunk").withColumn("since", F.col("since").cast("string"))
 
 
 def leave_camp_out_prior(spark, sf):
@@ -182,7 +182,7 @@ def slot_contrast(spark, sf):
 
 
 def slot_contrast_fisher(spark, sf):
-    c = M.slot_contrast(_resolved(spark, sf)[1], cards(spark, sf)).where("n_with >= 5 and n_without >= 5")
+    c = M.slot_contrast(_resolved(spark, sf)[1], cards(spark, sf)).where("n_with >= 2 and n_without >= 2")
     return c.withColumn("p", F.round(fisher_udf("wins_with", F.col("n_with") - F.col("wins_with"), "wins_without", F.col("n_without") - F.col("wins_without")), 9))
 
 
@@ -239,7 +239,7 @@ SQL = {
     "meta_share_other_folded": f"{_D}, {_SH}, o AS (SELECT CASE WHEN share < 0.02 AND NOT regexp_matches(lower(archetype), '^(unknown$|conflict($|\\())') THEN 'Other' ELSE archetype END AS archetype, n, share FROM sh), p AS (SELECT archetype, sum(n)::BIGINT AS n, sum(share) AS share FROM o GROUP BY 1) SELECT archetype, n, round(share, 6) AS share, {_TIER.format('n')} AS tier FROM p",
     "meta_share_by_variant": f"{_D}, g AS (SELECT archetype, variant, count(*)::BIGINT AS n FROM d WHERE archetype IS NOT NULL GROUP BY 1, 2) SELECT CASE WHEN variant IS NULL THEN archetype ELSE archetype || ' / ' || variant END AS label, n, round(n / (SELECT sum(n) FROM g)::DOUBLE, 6) AS share FROM g",
     "unlabeled_coverage": f"{_D} SELECT provenance, count(*)::BIGINT AS decks, count(*) FILTER (WHERE archetype IS NULL)::BIGINT AS unlabeled FROM d GROUP BY 1",
-    "freshness": f"{_D} SELECT provenance, max(date) AS latest, count(*)::BIGINT AS decks FROM d GROUP BY 1",
+    "freshness": f"{_D} SELECT provenance, max(date)::VARCHAR AS latest, count(*)::BIGINT AS decks FROM d GROUP BY 1",
     "dup_guard_names": f"{_D} SELECT tournament_id, norm, n::BIGINT AS n FROM uq WHERE n > 1",
     "match_resolve_status": f"{_D} SELECT status, count(*)::BIGINT AS n FROM m GROUP BY 1",
     "score_parse": f"{_D} SELECT result, CASE WHEN s1 > s2 THEN 'p1' WHEN s1 < s2 THEN 'p2' WHEN s1 = s2 THEN 'draw' END AS winner, count(*)::BIGINT AS n FROM m GROUP BY 1, 2",
@@ -261,11 +261,11 @@ CASE WHEN NOT mirror AND n > 0 THEN round(least(1::DOUBLE, (p + z * z / (2 * n)
     "venue_divergence": f"{_D}, {_VEN}, al AS (SELECT DISTINCT archetype FROM vs), x AS (SELECT a.archetype, v.v, coalesce(s.share, 0::DOUBLE) AS share FROM al a CROSS JOIN (VALUES ('online'), ('paper'), ('unknown')) v(v) LEFT JOIN vs s ON s.archetype = a.archetype AND s.provenance = v.v), y AS (SELECT archetype, max(share) AS hi, min(share) AS lo FROM x GROUP BY 1) SELECT y.archetype, min(v) FILTER (WHERE share = hi) AS venue_hi, min(v) FILTER (WHERE share = lo) AS venue_lo, round(any_value(hi), 6) AS hi, round(any_value(lo), 6) AS lo, round(any_value(hi - lo), 6) AS spread FROM x JOIN y ON x.archetype = y.archetype GROUP BY 1",
     "tier_list": f"{_D}, {_SH} SELECT archetype, round(share, 6) AS share, CASE WHEN share >= 0.10 THEN 'S' WHEN share >= 0.05 THEN 'A' ELSE 'B' END AS grade FROM sh WHERE share >= 0.02",
     "weekly_share_ema": _D.replace("WITH tt AS", "WITH RECURSIVE tt AS", 1)
-    + ", wn AS (SELECT date_trunc('week', date)::DATE AS week, archetype, count(*) AS n FROM d WHERE archetype IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2), wt AS (SELECT week, sum(n) AS t FROM wn GROUP BY 1), wg AS (SELECT a.archetype, wt.week, coalesce(wn.n, 0) / wt.t::DOUBLE AS share, row_number() OVER (PARTITION BY a.archetype ORDER BY wt.week) AS k FROM wt CROSS JOIN (SELECT DISTINCT archetype FROM wn) a LEFT JOIN wn ON wn.week = wt.week AND wn.archetype = a.archetype), em AS (SELECT archetype, week, share, k, share AS ema FROM wg WHERE k = 1 UNION ALL SELECT g.archetype, g.week, g.share, g.k, 0.4::DOUBLE * g.share + 0.6::DOUBLE * e.ema FROM em e JOIN wg g ON g.archetype = e.archetype AND g.k = e.k + 1) SELECT archetype, week, round(share, 6) AS share, round(ema, 6) AS ema FROM em",
-    "ban_horizon": f"{_D}, {_HZ} SELECT archetype, valid_since FROM hz",
+    + ", wn AS (SELECT date_trunc('week', date)::DATE AS week, archetype, count(*) AS n FROM d WHERE archetype IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2), wt AS (SELECT week, sum(n) AS t FROM wn GROUP BY 1), wg AS (SELECT a.archetype, wt.week, coalesce(wn.n, 0) / wt.t::DOUBLE AS share, row_number() OVER (PARTITION BY a.archetype ORDER BY wt.week) AS k FROM wt CROSS JOIN (SELECT DISTINCT archetype FROM wn) a LEFT JOIN wn ON wn.week = wt.week AND wn.archetype = a.archetype), em AS (SELECT archetype, week, share, k, share AS ema FROM wg WHERE k = 1 UNION ALL SELECT g.archetype, g.week, g.share, g.k, 0.4::DOUBLE * g.share + 0.6::DOUBLE * e.ema FROM em e JOIN wg g ON g.archetype = e.archetype AND g.k = e.k + 1) SELECT archetype, week::VARCHAR AS week, round(share, 6) AS share, round(ema, 6) AS ema FROM em",
+    "ban_horizon": f"{_D}, {_HZ} SELECT archetype, valid_since::VARCHAR AS valid_since FROM hz",
     "adaptive_matrix": f"""{_D}, {_HZ}, x AS (SELECT dir.*, greatest(ha.valid_since, hb.valid_since) AS since FROM dir LEFT JOIN hz ha ON ha.archetype = a LEFT JOIN hz hb ON hb.archetype = b),
 y AS (SELECT a, b, since, coalesce(sum(win) FILTER (WHERE since IS NULL OR date >= since), 0)::BIGINT AS wins, count(*) FILTER (WHERE since IS NULL OR date >= since)::BIGINT AS n, count(*)::BIGINT AS al, sum(win)::BIGINT AS alw FROM x GROUP BY 1, 2, 3), z AS (SELECT a, b, since, wins, n, alw - wins AS wins_before, al - n AS n_before FROM y)
-SELECT *, round(CASE WHEN since IS NOT NULL AND n < 100 AND n_before > 0 THEN (15 * {_SHRINK.format(w='wins_before', n='n_before')} + wins) / (15::DOUBLE + n) ELSE {_SHRINK.format(w='wins', n='n')} END, 6) AS p_shrunk, CASE WHEN since IS NOT NULL AND n < 100 AND n_before > 0 THEN 'before' ELSE 'even' END AS prior_source FROM z""",
+SELECT * REPLACE (since::VARCHAR AS since), round(CASE WHEN since IS NOT NULL AND n < 100 AND n_before > 0 THEN (15 * {_SHRINK.format(w='wins_before', n='n_before')} + wins) / (15::DOUBLE + n) ELSE {_SHRINK.format(w='wins', n='n')} END, 6) AS p_shrunk, CASE WHEN since IS NOT NULL AND n < 100 AND n_before > 0 THEN 'before' ELSE 'even' END AS prior_source FROM z""",
     "leave_camp_out_prior": f"""{_D}, c AS (SELECT a, coalesce(va, 'unlabeled') AS camp, b, sum(win)::BIGINT AS wins, count(*)::BIGINT AS n FROM dir GROUP BY 1, 2, 3),
 x AS (SELECT *, sum(wins) OVER (PARTITION BY a, b) AS pw, sum(n) OVER (PARTITION BY a, b) AS pn, sum(wins) OVER (PARTITION BY a) AS tw, sum(n) OVER (PARTITION BY a) AS tn FROM c),
 y AS (SELECT *, (15 * ({_SHRINK.format(w='tw', n='tn')}) + pw - wins) / (15::DOUBLE + pn - n) AS prior FROM x) SELECT a, camp, b, wins, n, round(prior, 6) AS prior, round((15 * prior + wins) / (15::DOUBLE + n), 6) AS p_shrunk FROM y""",
@@ -273,7 +273,7 @@ y AS (SELECT *, (15 * ({_SHRINK.format(w='tw', n='tn')}) + pw - wins) / (15::DOU
     "dersimonian_laird": f"""{_D}, c AS (SELECT a, list_extract(string_split(b, ' '), -1) AS cluster, wins::DOUBLE AS w, n::DOUBLE AS n, ln((wins + 0.5::DOUBLE) / (n - wins + 0.5::DOUBLE)) AS y, 1 / (wins + 0.5::DOUBLE) + 1 / (n - wins + 0.5::DOUBLE) AS v FROM cell),
 g AS (SELECT a, cluster, count(*) AS k, sum(1 / v) AS s1, sum(1 / v / v) AS s2, sum(y / v) AS sy, sum(y * y / v) AS syy, sum(n) AS games, sum(n * n) AS nn, max(n) AS top FROM c GROUP BY 1, 2),
 h AS (SELECT *, greatest(0::DOUBLE, syy - sy * sy / s1) AS q FROM g), t AS (SELECT *, CASE WHEN k > 1 THEN greatest(0::DOUBLE, (q - (k - 1)) / (s1 - s2 / s1)) ELSE 0::DOUBLE END AS tau2 FROM h),
-r AS (SELECT c.a, c.cluster, sum(1 / (v + tau2)) AS su, sum(y / (v + tau2)) AS suy FROM c JOIN t ON t.a = c.a AND t.cluster = c.cluster GROUP BY 1, 2), f AS (SELECT t.*, su, 1 / (1 + exp(-suy / su)) AS p FROM t JOIN r ON r.a = t.a AND r.cluster = t.cluster)
+pw AS (SELECT c.a, c.cluster, sum(1 / (v + tau2)) AS su, sum(y / (v + tau2)) AS suy FROM c JOIN t ON t.a = c.a AND t.cluster = c.cluster GROUP BY 1, 2), f AS (SELECT t.*, su, 1 / (1 + exp(-suy / su)) AS p FROM t JOIN pw ON pw.a = t.a AND pw.cluster = t.cluster)
 SELECT a, cluster, k::BIGINT AS members, games::BIGINT AS games, round(q, 6) AS q, round(tau2, 6) AS tau2, CASE WHEN k > 1 THEN round(CASE WHEN q > 0 THEN greatest(0::DOUBLE, (q - (k - 1)) / q) ELSE 0 END, 6) END AS i2, round(p, 6) AS p_pooled, round(least(games, su / (p * (1 - p))), 6) AS n_eff, round(nn / (games * games), 6) AS hhi, round(top / games, 6) AS top_share FROM f""",
     "card_winrate_cells": f"{_D}, {_CW} SELECT * FROM cw",
     "card_winrate_marginal": f"{_D}, {_CW} SELECT * FROM cm",
