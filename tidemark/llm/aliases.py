@@ -29,6 +29,8 @@ _FILL = {"the", "team", "tm", "of", "gaming"}
 _LEET = str.maketrans("013457", "oieast")
 #: Least length of an indexed suffix, pairs per block above which a block is refined, and least similarity.
 SUFFIX, BLOCK, SIMILAR = 4, 60, 0.8
+#: Most letters of two similar names that the subsequence leaves out (an exchange or a swap leaves out two).
+LEFT_OUT = 4
 
 _FORMS: dict[str, set[str]] = {}
 for _full, _short in GIVEN.items():
@@ -153,7 +155,8 @@ def _read(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _compare(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in pdfs:
-        yield p.assign(ratio=[lcs_ratio(a, b) for a, b in zip(p["name_a"], p["name_b"])])
+        r = [(lcs_ratio(a, b), len(a) + len(b)) for a, b in zip(p["name_a"], p["name_b"])]
+        yield p.assign(ratio=[x if (1 - x) * n <= LEFT_OUT + 1e-9 else 0.0 for x, n in r])
 
 
 def _blocked_pairs(names: DataFrame) -> DataFrame:

@@ -212,7 +212,7 @@ class Model:
         for i, (ps, x) in enumerate(zip(read, share)):
             bad = Counter(v for v in labelled[i][1] if v in CLASSES)
             for p in {self._mapped(p) for p in ps}:
-                row = table[i % FOLDS][p]
+                row = table[(i * 2654435761 >> 16) % FOLDS][p]  # a fold must not follow a pattern in the order
                 if x >= 0.5:
                     row[0] += x
                     for c, n in bad.items():
