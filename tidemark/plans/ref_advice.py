@@ -196,7 +196,7 @@ SELECT entity, name, start::DATE::VARCHAR AS start, round(before, 6) AS before,
     "allocation_contention": f"{_LI}, w AS (SELECT name, sum(copies)::BIGINT AS wanted, count(DISTINCT deck)::BIGINT AS decks FROM li GROUP BY 1) SELECT name, wanted, coalesce(owned, 0)::BIGINT AS owned, decks FROM w LEFT JOIN ow USING (name) WHERE wanted > coalesce(owned, 0)",
     "buildability": f"{_LI} SELECT deck, sum(greatest(0, copies - coalesce(owned, 0)))::BIGINT AS missing FROM li LEFT JOIN ow USING (name) GROUP BY 1",
     "decklist_parse": r"""WITH l AS (SELECT doc_id AS id, i, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_type = 'decklist' AND text IS NOT NULL)),
-s AS (SELECT id, min(i) AS cut FROM l WHERE regexp_matches(lower(line), '^sideboard:?$') GROUP BY 1),
+s AS (SELECT id, min(i) AS cut FROM l WHERE regexp_matches(lower(line), '^sideboard:?[\s\x{a0}]*$') GROUP BY 1),
 p AS (SELECT l.id, CASE WHEN i > cut THEN 'side' ELSE 'main' END AS board, try_cast(regexp_extract(line, '^([0-9]{1,3})x? +([^0-9 ].*)$', 1) AS INT) AS copies FROM l LEFT JOIN s ON s.id = l.id WHERE regexp_matches(line, '^[0-9]{1,3}x? +[^0-9 ].*$'))
 SELECT id, board, count(*)::BIGINT AS lines, sum(copies)::BIGINT AS copies FROM p GROUP BY 1, 2""",
     "event_hourly_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",

@@ -14,7 +14,7 @@ def parse_lists(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     Other lines are passed over; null texts give no rows."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     d = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), lines.alias("l"))
-    cut = F.array_min(F.transform(F.filter(F.transform("l", lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), x)), lambda s: F.lower(s["x"]).rlike("^sideboard:?$")), lambda s: s["i"]))
+    cut = F.array_min(F.transform(F.filter(F.transform("l", lambda x, i: F.named_struct(F.lit("i"), i, F.lit("x"), x)), lambda s: F.lower(s["x"]).rlike(r"^sideboard:?[\s\u00a0]*$")), lambda s: s["i"]))
     d = d.select("id", cut.alias("cut"), F.posexplode("l").alias("i", "line")).where(F.col("line").rlike(LINE))
     return d.select("id", F.when(F.col("i") > F.col("cut"), "side").otherwise("main").alias("board"), F.regexp_extract("line", LINE, 1).cast("int").alias("copies"), F.regexp_extract("line", LINE, 2).alias("name"))
 

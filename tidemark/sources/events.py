@@ -31,12 +31,12 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
     raw = raw.select("*", F.col("_metadata.file_path").alias("path"))
-    hashes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path).select("path", F.sha2("content", 256).alias("content_hash"))
+    hashes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("content_hash"))
     src = F.coalesce(F.nullif(F.regexp_extract("path", r"Tournaments/([^/]+)/", 1), F.lit("")), F.lit("local"))
-    players = F.array_sort(F.transform(F.coalesce("Decks", F.array().cast("array<struct<Player:string>>")), lambda d: F.coalesce(d["Player"], F.lit(""))))
+    players = F.array_sort(F.coalesce(F.transform("Decks", lambda d: F.coalesce(d["Player"], F.lit(""))), F.array().cast("array<string>")))
     t = F.col("Tournament")
     made = F.concat_ws(":", src, F.coalesce(t["Name"], F.lit("")), F.coalesce(t["Date"], F.lit("")), F.substring(F.sha1(F.array_join(players, "|")), 1, 8))
-    return raw.join(F.broadcast(hashes), "path", "left").select(
+    return raw.join(hashes, "path", "left").select(
         "*", src.alias("source"), F.coalesce(F.nullif(t["Uri"], F.lit("")), made).alias("tournament_id"), provenance(src, F.coalesce(t["Uri"], F.lit(""))).alias("provenance")
     )
 

@@ -21,7 +21,8 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int = 16) ->
 def tumbling(events: DataFrame, at: str, by: str, value: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, by, n, value) per tumbling window; events later than the watermark are dropped by the stream. Over a
     finished input the closed windows equal those of the batch."""
-    w = events.withWatermark(at, late) if events.isStreaming else events
+    w = events.withColumn(at, F.col(at).cast("timestamp"))
+    w = w.withWatermark(at, late) if w.isStreaming else w
     g = w.groupBy(F.window(at, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("value"))
     return g.select(F.col("w.start").alias("start"), by, "n", "value")
 
