@@ -286,7 +286,7 @@ def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: st
     v = labels.where(F.col(verdict).isNotNull() & F.col(label_doc).isNotNull()).groupBy(F.col(label_doc).alias("doc")).agg(F.sort_array(F.collect_list(F.lower(F.trim(F.col(verdict))))).alias("v"))
     v = v.orderBy(F.xxhash64("doc"), "doc").limit(max_labelled)
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    rows = d.join(v, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.min("v").alias("v")).orderBy("doc").collect()
+    rows = d.join(F.broadcast(v), "doc").groupBy("doc").agg(F.min("text").alias("text"), F.min("v").alias("v")).orderBy("doc").collect()
     return Model([(r["text"], list(r["v"])) for r in rows])
 
 
