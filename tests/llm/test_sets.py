@@ -218,3 +218,24 @@ def test_common_suffixes_lose_no_pair(spark):
     for i, x in e.items():
         members[x].append(i)
     assert max(len(m) for m in members.values()) <= 12
+
+
+def test_large_blocks_are_compared_whole(spark):
+    """Names that leave open who they are meet all names of a large block; blocks of any size are compared."""
+    rnd = random.Random(12)
+    names = ["".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=7)) + "akrindot" for _ in range(300)]
+    typed = [n[0] + n[2:] for n in names]  # another beginning, so only the end is shared
+    read = [(n, ["robert"]) for n in names] + [(t, ["robert"] if i % 2 else []) for i, t in enumerate(typed)]
+    got = {(r["name_a"], r["name_b"]) for r in aliases._blocked_pairs(spark.createDataFrame(read, "name string, who array<string>")).collect()}
+    assert all((min(p), max(p)) in got for p in zip(names, typed))
+    got = aliases._blocked_pairs(spark.createDataFrame(read, "name string, who array<string>"))
+    assert got.count() == got.distinct().count()
+
+
+def test_open_handles_join_large_blocks(spark):
+    """A handle without a given name goes to the person of its family name, though 100 names have the same end."""
+    rnd = random.Random(13)
+    names = ["".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=7)) + "akri" for _ in range(100)]
+    data = [(i, f"robert {n}", None) for i, n in enumerate(names)] + [(1000 + i, n[:1] + n[2:], None) for i, n in enumerate(names)]
+    e = {r["id"]: r["entity"] for r in aliases.link_aliases(spark.createDataFrame(data, "id int, h string, p string"), "id", "h", "p").collect()}
+    assert sum(e[i] == e[1000 + i] for i in range(100)) >= 98

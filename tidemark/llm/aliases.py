@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import min_label_components
+from tidemark.operators.skew import salted_join
 from tidemark.session import durable
 
 # Given names with common short forms, and kinds of teams with abbreviations.
@@ -27,8 +28,8 @@ TEAMS = {"academy": "acad", "brewhouse": "brewh", "cardhall": "ch", "collective"
 _NOISE = re.compile(r"\[[^\]]*\]|\([^)]*\)|\s-\s*(?:judge|coach|admin)\b|[_\s.](?:paper|online|judge|jr|sr)\b\.?")
 _FILL = {"the", "team", "tm", "of", "gaming"}
 _LEET = str.maketrans("013457", "oieast")
-#: Least length of an indexed suffix, pairs per block above which a block is refined, and least similarity.
-SUFFIX, BLOCK, SIMILAR = 4, 60, 0.8
+#: Length of an indexed suffix, names of a block that one task may pair with the others, and least similarity.
+SUFFIX, BLOCK, SIMILAR = 4, 2_000, 0.8
 #: Most letters of two similar names that the subsequence leaves out (an exchange or a swap leaves out two).
 LEFT_OUT = 4
 
@@ -160,29 +161,23 @@ def _compare(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _blocked_pairs(names: DataFrame) -> DataFrame:
-    """(name_a, name_b): distinct names, a < b, that share a suffix of themselves or of their reversal.
+    """(name_a, name_b): all distinct names, a < b, that share a suffix of themselves or of their reversal and may be
+    of one person or team.
 
-    A suffix of SUFFIX letters is a block. Blocks that would give too many pairs are refined by the other field (who
-    it may be), and what is still too large by longer suffixes; only suffixes that stay common as whole names are
-    dropped, where nothing is left to tell their names apart but the other half, which is a block of its own.
+    A suffix of SUFFIX letters is a block. Of a block every two names are paired whose fields who have a value in
+    common; a name that leaves open who it is (no who) is paired with all names of the block. Nothing is dropped,
+    whatever the size of a block: large blocks are split among tasks. Names whose lengths differ by more than LEFT_OUT
+    can't be similar, and a pair with both ends in common is formed once.
     """
     n = names.select("name", F.explode(F.when(F.size("who") > 0, F.col("who")).otherwise(F.array(F.lit("")))).alias("w")).distinct()
     ends = F.array(F.struct(F.lit("s").alias("side"), F.reverse("name").alias("x")), F.struct(F.lit("p").alias("side"), F.col("name").alias("x")))
-    rows = durable(n.select("name", "w", F.explode(ends).alias("e")).select("name", "w", "e.side", F.col("e.x").alias("x")))
-    pairs = None
-    left = rows.withColumn("block", F.substring("x", 1, SUFFIX))
-    for step, keys in enumerate((["side", "block"], ["side", "block", "w"], ["side", "block", "w"], ["side", "block", "w"])):
-        if step >= 2:
-            left = left.withColumn("block", F.substring("x", 1, SUFFIX + 2 * (step - 1)))
-        size = left.groupBy(*keys).agg(F.count_distinct("name").alias("n"))
-        last = step == 3
-        fine = size.where(F.col("n") <= (BLOCK if not last else 4 * BLOCK)).select(*keys)
-        mine = left.join(fine, keys, "left_semi").select(*keys, "name").distinct()
-        p = mine.select(*keys, F.col("name").alias("name_a")).join(mine.select(*keys, F.col("name").alias("name_b")), keys).where("name_a < name_b").select("name_a", "name_b")
-        pairs = p if pairs is None else pairs.union(p)
-        if not last:
-            left = durable(left.join(fine, keys, "left_anti"))
-    return pairs.distinct()
+    rows = durable(n.select("name", "w", F.explode(ends).alias("e")).select("name", "w", "e.side", F.substring("e.x", 1, SUFFIX).alias("block")))
+    left, right = rows.withColumnRenamed("name", "l"), rows.withColumnRenamed("name", "r")
+    near = (F.abs(F.length("l") - F.length("r")) <= LEFT_OUT) & ((F.col("side") == "p") | (F.substring("l", 1, SUFFIX) != F.substring("r", 1, SUFFIX)))
+    same = salted_join(left, right, ["side", "block", "w"], ["l"], rows_per_task=BLOCK).where(near & (F.col("l") < F.col("r")))
+    open_ = salted_join(left.where("w <> ''"), right.where("w = ''").drop("w"), ["side", "block"], ["l"], rows_per_task=BLOCK).where(near & (F.col("l") != F.col("r")))
+    pair = same.select("l", "r").union(open_.select("l", "r"))
+    return pair.select(F.least("l", "r").alias("name_a"), F.greatest("l", "r").alias("name_b")).distinct()
 
 
 def link_aliases(aliases: DataFrame, alias_id: str, handle: str, player: str) -> DataFrame:
