@@ -167,6 +167,21 @@ def test_core_groups(spark):
     assert g2.count() == 0
 
 
+def test_small_groups_among_many_records(spark):
+    """Groups of 5 to 30 records are found whole among 3,000 others that share staples, and chance makes no group."""
+    rnd = random.Random(1)
+    staples, pool, data, truth = [f"s{i}" for i in range(12)], [f"p{i}" for i in range(2000)], [], {}
+    for g, size in enumerate([5] * 5 + [8] * 5 + [15] * 10 + [30] * 5):
+        for _ in range(size):
+            truth[len(data)] = g
+            data.append((len(data), [f"c{g}-{k}" for k in range(10) if rnd.random() < 0.95] + [x for x in staples if rnd.random() < 0.29] + rnd.sample(pool, 9), None, None))
+    for _ in range(3000):
+        data.append((len(data), [x for x in staples if rnd.random() < 0.29] + rnd.sample(pool, 19), None, None))
+    got = {r["key"]: r["cluster_key"] for r in density.core_groups(deck_sets(spark, data))[0].collect()}
+    first = {g: min(k for k in truth if truth[k] == g) for g in set(truth.values())}
+    assert sum(got.get(k) == first[g] for k, g in truth.items()) >= 0.98 * len(truth) and all(k in truth for k in got)
+
+
 # --- aliases ---
 def test_lcs_ratio_against_table():
     def lcs(a, b):
