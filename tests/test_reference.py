@@ -133,3 +133,30 @@ def test_running_alarm(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["alarm"] for r in spark.table("alarms").orderBy("start").collect()][-1] and os.path.exists(tmp_path / "c")
+
+
+def test_exact_board_is_proven_for_all_cards():
+    """Dominated cards are left out only if no best board needs them."""
+    import itertools
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(20):
+        weight = {e: rnd.random() for e in "abcd"}
+        m = advice.Coverage(weight, {f"c{i}": {e for e in "abcd" if rnd.random() < 0.5} for i in range(6)}, {f"c{i}": rnd.choice([1, 2, 4]) for i in range(6)})
+        best, proven = m.exact(3)
+        boards = (dict(zip(m.covers, n)) for n in itertools.product(*[range(min(3, m.cap(c)) + 1) for c in m.covers]) if sum(n) <= 3)
+        assert proven and abs(m.value(best) - max(map(m.value, boards))) < 1e-9
+    many = advice.Coverage({f"e{i}": 1 / 40 for i in range(40)}, {f"c{i}": {f"e{j}" for j in range(i % 40 + 1)} for i in range(400)})
+    assert many.undominated(8) == ["c119", "c159"] and many.exact(8)[1]
+
+
+def test_sideboard_model_is_whole(spark):
+    """All cards of 5% adoption and all labels, where no card reaches 15%."""
+    from tidemark.plans import ref_advice
+
+    sf = "/root/testdata/sf0.1"
+    m = ref_advice.coverage_model(spark, sf)
+    assert set(m.weight) == {r["archetype"] for r in ref_advice._field(spark, sf).collect()} and sum(map(len, m.covers.values())) > 400
+    board = ref_advice.sideboard_exact(spark, sf).collect()
+    assert sum(r["copies"] for r in board) == 8 and all(r["proven"] for r in board)

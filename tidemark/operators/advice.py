@@ -105,10 +105,18 @@ class Coverage:
                 k[e] += 1
         return out
 
+    def undominated(self, budget: int) -> list[str]:
+        """Cards that some best board may need. A card is left out if cards that answer all it answers (of equal ones,
+        those before it by name) have ``budget`` copies together: one of them always has a copy to put in its place."""
+        sets = {c: frozenset(e for e in es if self.weight[e] > 0) for c, es in self.covers.items()}
+        over = lambda d, c: sets[c] < sets[d] or sets[c] == sets[d] and d < c
+        return [c for c in sets if sets[c] and sum(self.cap(d) for d in sets if over(d, c)) < budget]
+
     def exact(self, budget: int, nodes: int = 200_000) -> tuple[dict[str, int], bool]:
-        """Branch and bound over cards; the bound adds the best remaining marginal gains, which is an upper bound as
-        gains only fall. Returns the board and whether it is proven best within the node limit."""
-        cards = sorted(self.covers, key=lambda c: (-sum(self.weight[e] for e in self.covers[c]), c))
+        """Branch and bound over the undominated cards; the bound adds the best remaining marginal gains, which is an
+        upper bound as gains only fall. Returns the board and whether it is proven best of all cards within the node
+        limit."""
+        cards = sorted(self.undominated(budget), key=lambda c: (-sum(self.weight[e] for e in self.covers[c]), c))
         start = self.greedy(budget)
         best, best_v = start, self.value(start)
         queue, count = [(-1e18, 0, 0, {}, 0)], 1

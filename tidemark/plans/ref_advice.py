@@ -17,6 +17,9 @@ from tidemark.plans.sql import sql_time
 from tidemark.session import table
 from tidemark.sources.decklists import parse_lists
 
+#: Least share of an archetype's decks that run a side card which counts as an answer of it.
+ADOPTED = 0.05
+
 
 def _r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
@@ -101,14 +104,18 @@ def board_overlap(spark, sf):
     return _r6(C.frequencies(d, side, "archetype").select("archetype", "name", F.col("inclusion").alias("everyone")).join(top, ["archetype", "name"]), "top", "everyone")
 
 
+def coverage_model(spark, sf):
+    """All labels of the field, and all side cards that at least ADOPTED of an archetype's decks run, which answer it;
+    at most 1 / share least labels of at most 15 / ADOPTED cards."""
+    field = _field(spark, sf)
+    side = C.frequencies(decks(spark, sf).join(F.broadcast(field.select("archetype")), "archetype", "left_semi"), cards(spark, sf).where("board = 'side'").drop("board"), "archetype")
+    covers = side.where(F.col("decks") >= ADOPTED * F.col("pool")).groupBy("name").agg(F.collect_set("archetype").alias("archetypes")).collect()
+    return A.Coverage({r["archetype"]: r["share"] for r in field.collect()}, {r["name"]: set(r["archetypes"]) for r in covers})
+
+
 def _coverage(spark, sf, exact):
-    """Side cards that most decks of an archetype run answer that archetype; a board of 8 copies for the field."""
-    field = {r["archetype"]: r["share"] for r in _field(spark, sf).orderBy(F.col("share").desc(), "archetype").limit(12).collect()}
-    side = C.frequencies(decks(spark, sf).where(F.col("archetype").isin(list(field))), cards(spark, sf).where("board = 'side'").drop("board"), "archetype")
-    covers: dict[str, set[str]] = {}
-    for r in side.where("inclusion >= 0.15").select("name", "archetype").orderBy("name", "archetype").limit(400).collect():  # top of a small model
-        covers.setdefault(r["name"], set()).add(r["archetype"])
-    model = A.Coverage(field, dict(sorted(covers.items(), key=lambda k: (-len(k[1]), k[0]))[:24]))
+    """A board of 8 copies for the field."""
+    model = coverage_model(spark, sf)
     board, proven = model.exact(8) if exact else (model.greedy(8), False)
     return spark.createDataFrame([(c, n, round(model.value(board), 6), proven) for c, n in sorted(board.items())], "name string, copies int, value double, proven boolean")
 
