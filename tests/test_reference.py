@@ -160,3 +160,9 @@ def test_sideboard_model_is_whole(spark):
     assert set(m.weight) == {r["archetype"] for r in ref_advice._field(spark, sf).collect()} and sum(map(len, m.covers.values())) > 400
     board = ref_advice.sideboard_exact(spark, sf).collect()
     assert sum(r["copies"] for r in board) == 8 and all(r["proven"] for r in board)
+
+
+@pytest.mark.parametrize("name", ["tfidf_l2_parents", "camp_centroid_parents", "nearest_camp_parents", "pmi_adjacency_parents"])
+def test_all_parents_match_sql(spark, name):
+    assert compare(spark, SMALL, name).startswith("ok")
+    assert entry.queries()[name](spark, SMALL).select("archetype").distinct().count() > 1

@@ -64,30 +64,50 @@ def adjacency(decks: DataFrame, cards: DataFrame, core: DataFrame, k: int, least
     return x.select("name", "n_x", "n_xs", F.log(F.col("n_xs").cast("double") * F.col("n") / (F.col("n_x").cast("double") * F.col("ns"))).alias("pmi"))
 
 
-def tfidf(pool: DataFrame, cards: DataFrame, lo: float = 0.10, hi: float = 0.95) -> DataFrame:
-    """(deck, name, weight): copies times smoothed idf over the flex cards (inclusion in [lo, hi]), unit length."""
-    n = pool.select(*_DECK).distinct().agg(F.count(F.lit(1)).alias("n"))
-    c = cards.join(pool.select(*_DECK).distinct(), _DECK)
-    df = c.groupBy("name").agg(F.count_distinct(*_DECK).alias("df")).join(F.broadcast(n)).where((F.col("df") >= lo * F.col("n")) & (F.col("df") <= hi * F.col("n")))
-    w = c.join(F.broadcast(df), "name").select(*_DECK, "name", (F.col("copies") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = w.groupBy(*_DECK).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return w.join(norm, _DECK).select(*_DECK, "name", (F.col("w") / F.col("l")).alias("weight"))
-
-
-def centroids(vectors: DataFrame, member: DataFrame, label: str) -> DataFrame:
-    """(label, name, weight): mean of the members' unit vectors, scaled to unit length."""
-    v = vectors.join(member, _DECK)
-    n = member.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    c = v.groupBy(label, "name").agg(F.sum("weight").alias("s")).join(n, label).select(label, "name", (F.col("s") / F.col("n")).alias("w"))
-    norm = c.groupBy(label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    return c.join(norm, label).select(label, "name", (F.col("w") / F.col("l")).alias("weight"))
-
-
-def nearest(vectors: DataFrame, centre: DataFrame, label: str, least: float = 0.35) -> DataFrame:
-    """(deck, label, similarity): the centroid with the highest cosine (ties by label), null under ``least``."""
-    dot = vectors.join(centre.withColumnRenamed("weight", "cw"), "name").groupBy(*_DECK, label).agg(F.round(F.sum(F.col("weight") * F.col("cw")), 9).alias("s"))
-    best = dot.groupBy(*_DECK).agg(F.min(F.struct((-F.col("s")).alias("o"), F.col(label).alias("label"))).alias("b"))
-    return best.select(*_DECK, F.when(-F.col("b.o") >= least, F.col("b.label")).alias(label), (-F.col("b.o")).alias("similarity"))
+def adjacency_all(decks: DataFrame, cards: DataFrame, cores: DataFrame, least: int = 5) -> DataFrame:
+    """(archetype, name, n_x, n_xs, pmi): adjacency to each archetype's core (archetype, name), k = max(3, ceil(0.6 core))."""
+    held = cards.select(*_DECK, "name").distinct()
+    n = decks.select(*_DECK).distinct().agg(F.count(F.lit(1)).alias("n"))
+    k = cores.groupBy("archetype").agg(F.greatest(F.lit(3), F.ceil(F.count(F.lit(1)) * 6 / 10)).alias("k"))
+    shell = held.join(cores, "name").groupBy("archetype", *_DECK).agg(F.count(F.lit(1)).alias("h")).join(k, "archetype").where(F.col("h") >= F.col("k")).select("archetype", *_DECK)
+    ns = shell.groupBy("archetype").agg(F.count(F.lit(1)).alias("ns"))
+    nx = held.groupBy("name").agg(F.count(F.lit(1)).alias("n_x"))
+    x = shell.join(held, _DECK).groupBy("archetype", "name").agg(F.count(F.lit(1)).alias("n_xs")).where(F.col("n_xs") >= least)
+    x = x.join(cores, ["archetype", "name"], "left_anti").join(nx, "name").join(ns, "archetype").join(F.broadcast(n))
+    return x.select("archetype", "name", "n_x", "n_xs", F.log(F.col("n_xs").cast("double") * F.col("n") / (F.col("n_x").cast("double") * F.col("ns"))).alias("pmi"))
+
+
+def tfidf(pool: DataFrame, cards: DataFrame, lo: float = 0.10, hi: float = 0.95, parent: str | None = None) -> DataFrame:
+    """(deck, name, weight): copies times smoothed idf over the flex cards (inclusion in [lo, hi]), unit length; with
+    ``parent`` as first column and all counts within it, if given."""
+    by = [parent] if parent else []
+    member = pool.select(*by, *_DECK).distinct()
+    n = member.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    c = cards.join(member, _DECK)
+    df = c.groupBy(*by, "name").agg(F.count_distinct(*_DECK).alias("df"))
+    df = (df.join(n, by) if by else df.join(F.broadcast(n))).where((F.col("df") >= lo * F.col("n")) & (F.col("df") <= hi * F.col("n")))
+    w = c.join(df if by else F.broadcast(df), [*by, "name"]).select(*by, *_DECK, "name", (F.col("copies") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = w.groupBy(*by, *_DECK).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+    return w.join(norm, [*by, *_DECK]).select(*by, *_DECK, "name", (F.col("w") / F.col("l")).alias("weight"))
+
+
+def centroids(vectors: DataFrame, member: DataFrame, label: str, parent: str | None = None) -> DataFrame:
+    """(label, name, weight): mean of the members' unit vectors, scaled to unit length, within each parent if given."""
+    by = [parent] if parent else []
+    v = vectors.join(member, [*by, *_DECK])
+    n = member.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
+    c = v.groupBy(*by, label, "name").agg(F.sum("weight").alias("s")).join(n, [*by, label]).select(*by, label, "name", (F.col("s") / F.col("n")).alias("w"))
+    norm = c.groupBy(*by, label).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+    return c.join(norm, [*by, label]).select(*by, label, "name", (F.col("w") / F.col("l")).alias("weight"))
+
+
+def nearest(vectors: DataFrame, centre: DataFrame, label: str, least: float = 0.35, parent: str | None = None) -> DataFrame:
+    """(deck, label, similarity): the centroid, of the deck's parent if given, with the highest cosine (ties by label),
+    null under ``least``."""
+    by = [parent] if parent else []
+    dot = vectors.join(centre.withColumnRenamed("weight", "cw"), [*by, "name"]).groupBy(*by, *_DECK, label).agg(F.round(F.sum(F.col("weight") * F.col("cw")), 9).alias("s"))
+    best = dot.groupBy(*by, *_DECK).agg(F.min(F.struct((-F.col("s")).alias("o"), F.col(label).alias("label"))).alias("b"))
+    return best.select(*by, *_DECK, F.when(-F.col("b.o") >= least, F.col("b.label")).alias(label), (-F.col("b.o")).alias("similarity"))
 
 
 def core_sets(decks: DataFrame, cards: DataFrame, inclusion: float = 0.5, definer_decks: int = 30, definer_core: int = 8, staple: float = 0.3) -> DataFrame:

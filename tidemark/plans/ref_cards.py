@@ -91,6 +91,32 @@ def nearest_camp(spark, sf):
     return _r6(C.nearest(v, C.centroids(v, p.select("tournament_id", "deck_idx", "variant"), "variant"), "variant"), "similarity")
 
 
+def _camps(spark, sf):
+    return _labelled(spark, sf).where("variant is not null").select("archetype", "tournament_id", "deck_idx", "variant")
+
+
+def tfidf_l2_parents(spark, sf):
+    """The decks with a camp of all archetypes, each archetype by itself."""
+    return _r6(C.tfidf(_camps(spark, sf), _main(spark, sf), parent="archetype"), "weight")
+
+
+def camp_centroid_parents(spark, sf):
+    p = _camps(spark, sf)
+    return _r6(C.centroids(C.tfidf(p, _main(spark, sf), parent="archetype"), p, "variant", "archetype"), "weight")
+
+
+def nearest_camp_parents(spark, sf):
+    p = _camps(spark, sf)
+    v = C.tfidf(p, _main(spark, sf), parent="archetype")
+    return _r6(C.nearest(v, C.centroids(v, p, "variant", "archetype"), "variant", parent="archetype"), "similarity")
+
+
+def pmi_adjacency_parents(spark, sf):
+    """Cards adjacent to the core of every archetype."""
+    d, m = decks(spark, sf), _main(spark, sf)
+    return _r6(C.adjacency_all(d, m, C.core_sets(d, m).where("not staple").select("archetype", "name")), "pmi")
+
+
 def core_sets_staples(spark, sf):
     return _core(spark, sf)
 
@@ -108,8 +134,16 @@ _TF = _MN + """, vp AS (SELECT * FROM lb WHERE variant IS NOT NULL), tp AS (SELE
 pc AS (SELECT mn.*, variant FROM mn JOIN pp USING (tournament_id, deck_idx)), pn AS (SELECT count(*) AS n FROM pp), df AS (SELECT name, count(*) AS df FROM pc GROUP BY 1 HAVING count(*) BETWEEN 0.10 * (SELECT n FROM pn) AND 0.95 * (SELECT n FROM pn)),
 tw AS (SELECT tournament_id, deck_idx, variant, name, copies * (ln((1 + (SELECT n FROM pn)) / (1 + df)::DOUBLE) + 1) AS w FROM pc JOIN df USING (name)), tv AS (SELECT tournament_id, deck_idx, variant, name, w / sqrt(sum(w * w) OVER (PARTITION BY tournament_id, deck_idx)) AS weight FROM tw),
 ct AS (SELECT variant, name, sum(weight) / any_value(n) AS w FROM tv JOIN (SELECT variant, count(*) AS n FROM pp GROUP BY 1) USING (variant) GROUP BY 1, 2), cv AS (SELECT variant, name, w / sqrt(sum(w * w) OVER (PARTITION BY variant)) AS weight FROM ct)"""
+_TP = _MN + """, pp AS (SELECT * FROM lb WHERE variant IS NOT NULL), pn AS (SELECT archetype, count(*) AS n FROM pp GROUP BY 1), pc AS (SELECT mn.*, archetype, variant FROM mn JOIN pp USING (tournament_id, deck_idx)),
+df AS (SELECT archetype, name, count(*) AS df, any_value(n) AS n FROM pc JOIN pn USING (archetype) GROUP BY 1, 2 HAVING count(*) BETWEEN 0.10 * any_value(n) AND 0.95 * any_value(n)),
+tw AS (SELECT archetype, tournament_id, deck_idx, variant, name, copies * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM pc JOIN df USING (archetype, name)), tv AS (SELECT archetype, tournament_id, deck_idx, variant, name, w / sqrt(sum(w * w) OVER (PARTITION BY tournament_id, deck_idx)) AS weight FROM tw),
+ct AS (SELECT archetype, variant, name, sum(weight) / any_value(n) AS w FROM tv JOIN (SELECT archetype, variant, count(*) AS n FROM pp GROUP BY 1, 2) USING (archetype, variant) GROUP BY 1, 2, 3), cv AS (SELECT archetype, variant, name, w / sqrt(sum(w * w) OVER (PARTITION BY archetype, variant)) AS weight FROM ct)"""
 _D = SQL_DECKS
 SQL = {
+    "tfidf_l2_parents": f"{_D}, {_TP} SELECT archetype, tournament_id, deck_idx, name, round(weight, 6) AS weight FROM tv",
+    "camp_centroid_parents": f"{_D}, {_TP} SELECT archetype, variant, name, round(weight, 6) AS weight FROM cv",
+    "nearest_camp_parents": f"{_D}, {_TP}, dt AS (SELECT tv.archetype, tournament_id, deck_idx, cv.variant, round(sum(tv.weight * cv.weight), 9) AS s FROM tv JOIN cv ON cv.archetype = tv.archetype AND cv.name = tv.name GROUP BY 1, 2, 3, 4), b AS (SELECT *, row_number() OVER (PARTITION BY tournament_id, deck_idx ORDER BY s DESC, variant) AS k FROM dt) SELECT archetype, tournament_id, deck_idx, CASE WHEN s >= 0.35 THEN variant END AS variant, round(s, 6) AS similarity FROM b WHERE k = 1",
+    "pmi_adjacency_parents": f"{_D}, {_CS}, cr AS (SELECT archetype, name FROM co WHERE NOT staple), kk AS (SELECT archetype, greatest(3, ceil(0.6 * count(*))) AS k FROM cr GROUP BY 1), sl AS (SELECT cr.archetype, tournament_id, deck_idx FROM mn JOIN cr USING (name) JOIN kk ON kk.archetype = cr.archetype GROUP BY 1, 2, 3 HAVING count(*) >= any_value(kk.k)), ns AS (SELECT archetype, count(*) AS ns FROM sl GROUP BY 1), nx AS (SELECT name, count(*) AS n_x FROM mn GROUP BY 1), x AS (SELECT archetype, name, count(*) AS n_xs FROM sl JOIN mn USING (tournament_id, deck_idx) WHERE (archetype, name) NOT IN (SELECT (archetype, name) FROM cr) GROUP BY 1, 2) SELECT archetype, name, n_x, n_xs, round(ln(n_xs::DOUBLE * (SELECT count(*) FROM d) / (n_x::DOUBLE * ns)), 6) AS pmi FROM x JOIN nx USING (name) JOIN ns USING (archetype) WHERE n_xs >= 5",
     "card_frequency_modal": f"{_D}, {_FQ} SELECT archetype, name, decks, pool, round(decks / pool::DOUBLE, 6) AS inclusion, modal FROM fq JOIN pl USING (archetype)",
     "copy_histogram": f"{_D}, {_FQ} SELECT archetype, name, copies, k AS decks FROM fk UNION ALL SELECT archetype, name, 0, pool - decks FROM fq JOIN pl USING (archetype) WHERE decks < pool",
     "consensus_fill": f"{_D}, {_FQ}, x AS (SELECT archetype, name, modal, decks / pool::DOUBLE AS inclusion, coalesce(sum(modal) OVER (PARTITION BY archetype ORDER BY round(decks / pool::DOUBLE, 9) DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fq JOIN pl USING (archetype)) SELECT archetype, name, greatest(0, least(modal, 60 - before))::INT AS copies, round(inclusion, 6) AS inclusion FROM x WHERE least(modal, 60 - before) > 0",
