@@ -166,3 +166,26 @@ def test_sideboard_model_is_whole(spark):
 def test_all_parents_match_sql(spark, name):
     assert compare(spark, SMALL, name).startswith("ok")
     assert entry.queries()[name](spark, SMALL).select("archetype").distinct().count() > 1
+
+
+def _weekly(spark, weekly):
+    """Decks of (archetype, variant, decks by week), Mondays from 2024-01-01; week 3 is not observed."""
+    from datetime import date, timedelta
+
+    rows, weeks = [], [w for w in range(25) if w != 3]
+    for a, v, count in weekly:
+        for i, w in enumerate(weeks):
+            rows += [("t", len(rows) + j, a, v, date(2024, 1, 1) + timedelta(7 * w)) for j in range(count(i))]
+    return spark.createDataFrame(rows, "tournament_id string, deck_idx int, archetype string, variant string, date date"), weeks
+
+
+def test_bucket_width_by_density(spark):
+    """A break at an odd week of a dense archetype is dated to its week."""
+    from datetime import date, timedelta
+
+    d, weeks = _weekly(spark, [("dense", None, lambda i: 12 if i < 5 else 60), ("mid", None, lambda i: 6), ("rare", None, lambda i: 1), ("rest", None, lambda i: 100)])
+    b = eras.adaptive_buckets(d)
+    assert {r["entity"]: r["count"] for r in b.groupBy("entity").count().collect()} == {"dense": 24, "mid": 12, "rare": 6, "rest": 24}
+    assert b.groupBy().sum("decks").first()[0] == d.count()
+    cut = [r["start"] for r in eras.share_breaks(b).where("entity = 'dense'").collect()]
+    assert cut == [date(2024, 1, 1) + timedelta(7 * weeks[5])]

@@ -30,6 +30,23 @@ def buckets(decks: DataFrame, weeks: int = 1) -> DataFrame:
     return grid.join(e, ["entity", "start"], "left").select("entity", "start", F.coalesce("decks", F.lit(0)).cast("long").alias("decks"), "field_decks")
 
 
+def spans(decks: DataFrame) -> DataFrame:
+    """(entity, week, decks, field_decks, start): observed weeks with the start of the entity's bucket; a median of at
+    least 10 weekly decks (zeros included) gives buckets of one observed week, of 5 two, less four."""
+    w = buckets(decks).withColumnRenamed("start", "week")
+    m = w.groupBy("entity").agg(F.median("decks").alias("m"))
+    m = m.select("entity", F.when(F.col("m") >= 10, 1).when(F.col("m") >= 5, 2).otherwise(4).alias("weeks"))
+    # each entity has all observed weeks
+    k = F.row_number().over(Window.partitionBy("entity").orderBy("week")) - 1
+    x = w.join(m, "entity").withColumn("bucket", F.floor(k / F.col("weeks")))
+    return x.select("entity", "week", "decks", "field_decks", F.min("week").over(Window.partitionBy("entity", "bucket")).alias("start"))
+
+
+def adaptive_buckets(decks: DataFrame) -> DataFrame:
+    """(entity, start, decks, field_decks) in buckets of 1, 2 or 4 observed weeks, by the entity's density."""
+    return spans(decks).groupBy("entity", "start").agg(F.sum("decks").alias("decks"), F.sum("field_decks").alias("field_decks"))
+
+
 def presence(decks: DataFrame, cards: DataFrame, weeks: int = 4, least: int = 5) -> DataFrame:
     """(entity, name, start, before, after): cards whose inclusion crosses from at least 25% to under 5% or back
     between successive buckets of at least ``least`` decks of the entity."""

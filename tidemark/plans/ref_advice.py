@@ -47,11 +47,12 @@ def presence_crossings(spark, sf):
 
 
 def era_share_breaks(spark, sf):
-    return _day(E.share_breaks(E.buckets(decks(spark, sf), 4)), "start")
+    return _day(E.share_breaks(E.adaptive_buckets(decks(spark, sf))), "start")
 
 
 def drift_alarms(spark, sf):
-    return E.drift_alarms(E.buckets(decks(spark, sf), 4))
+    """On weekly buckets whatever the density, as the alarm is about what is recent."""
+    return E.drift_alarms(E.buckets(decks(spark, sf)))
 
 
 def fdr_accept(spark, sf):
