@@ -189,3 +189,14 @@ def test_bucket_width_by_density(spark):
     assert b.groupBy().sum("decks").first()[0] == d.count()
     cut = [r["start"] for r in eras.share_breaks(b).where("entity = 'dense'").collect()]
     assert cut == [date(2024, 1, 1) + timedelta(7 * weeks[5])]
+
+
+def test_crossings_of_camps(spark):
+    """A card that a camp takes up in one week is found for the camp, a wobble of one bucket is not."""
+    d, weeks = _weekly(spark, [("x", "new", lambda i: 12), ("x", None, lambda i: 100)])
+    d = d.localCheckpoint()
+    start = sorted({r["date"] for r in d.select("date").collect()})
+    mine = [(r["tournament_id"], r["deck_idx"], r["date"]) for r in d.where("variant = 'new'").collect()]
+    c = [(t, i, "idol") for t, i, at in mine if at >= start[11]] + [(t, i, "wobble") for n, (t, i, at) in enumerate(mine) if at == start[6] and n % 3 == 0]
+    got = eras.presence_regimes(d, spark.createDataFrame(c, "tournament_id string, deck_idx int, name string")).collect()
+    assert [(r["entity"], r["name"], r["start"], r["before"], r["after"]) for r in got] == [("x / new", "idol", start[11], 0.0, 1.0)] and got[0]["p"] < 1e-6

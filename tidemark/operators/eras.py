@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.stats import bocpd, optimal_partition
+from tidemark.functions.stats import bocpd, fisher_udf, optimal_partition
 
 # Fixed values of the detectors.
 PRESENT, ABSENT = 0.25, 0.05
@@ -30,6 +30,13 @@ def buckets(decks: DataFrame, weeks: int = 1) -> DataFrame:
     return grid.join(e, ["entity", "start"], "left").select("entity", "start", F.coalesce("decks", F.lit(0)).cast("long").alias("decks"), "field_decks")
 
 
+def _entities(decks: DataFrame) -> DataFrame:
+    """(tournament_id, deck_idx, entity, week): a deck for its archetype and, if it has one, its camp."""
+    d = decks.where("archetype is not null and date is not null")
+    names = F.array_compact(F.array("archetype", F.when(F.col("variant").isNotNull(), F.concat_ws(" / ", "archetype", "variant"))))
+    return d.select("tournament_id", "deck_idx", F.explode(names).alias("entity"), F.date_trunc("week", "date").cast("date").alias("week"))
+
+
 def spans(decks: DataFrame) -> DataFrame:
     """(entity, week, decks, field_decks, start): observed weeks with the start of the entity's bucket; a median of at
     least 10 weekly decks (zeros included) gives buckets of one observed week, of 5 two, less four."""
@@ -47,6 +54,29 @@ def adaptive_buckets(decks: DataFrame) -> DataFrame:
     return spans(decks).groupBy("entity", "start").agg(F.sum("decks").alias("decks"), F.sum("field_decks").alias("field_decks"))
 
 
+def presence_regimes(decks: DataFrame, cards: DataFrame, jump: float = 0.5, pooled: int = 4, least: int = 40) -> DataFrame:
+    """(entity, name, start, before, after, p): crossings of archetypes and camps between successive adaptive buckets
+    that hold decks. A crossing is confirmed by its jump or by the next bucket, and holds for up to ``pooled`` buckets
+    of at least ``least`` decks on each side together, whose counts give Fisher's p."""
+    at = spans(decks).select("entity", "week", "start", "decks")
+    b = at.groupBy("entity", "start").agg(F.sum("decks").alias("decks")).where("decks > 0")
+    n = cards.select("tournament_id", "deck_idx", "name").distinct().join(_entities(decks), ["tournament_id", "deck_idx"]).groupBy("entity", "name", "week").agg(F.count(F.lit(1)).alias("k"))
+    n = n.join(at.drop("decks"), ["entity", "week"]).groupBy("entity", "name", "start").agg(F.sum("k").alias("k"))
+    seen = n.join(b, ["entity", "start"]).where(F.col("k") >= PRESENT * F.col("decks")).select("entity", "name").distinct()  # a crossing needs such a bucket
+    x = seen.join(b, "entity").join(n, ["entity", "name", "start"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    w = Window.partitionBy("entity", "name").orderBy("start")
+    rate = F.col("k") / F.col("decks")
+    x = x.withColumns({"before": F.lag(rate).over(w), "after": rate, "next": F.lead(rate).over(w)})
+    for side, rows in (("b", w.rowsBetween(-pooled, -1)), ("a", w.rowsBetween(0, pooled - 1))):
+        x = x.withColumns({f"k{side}": F.sum("k").over(rows), f"n{side}": F.sum("decks").over(rows)})
+    pb, pa = F.col("kb") / F.col("nb"), F.col("ka") / F.col("na")
+    sure = F.abs(F.col("after") - F.col("before")) >= jump
+    gone = (F.col("before") >= PRESENT) & (F.col("after") < ABSENT) & (sure | (F.col("next") < ABSENT)) & (pb >= PRESENT) & (pa < ABSENT)
+    come = (F.col("before") < ABSENT) & (F.col("after") >= PRESENT) & (sure | (F.col("next") >= PRESENT)) & (pb < ABSENT) & (pa >= PRESENT)
+    x = x.where((F.least("nb", "na") >= least) & (gone | come))
+    return x.select("entity", "name", "start", "before", "after", fisher_udf("kb", F.col("nb") - F.col("kb"), "ka", F.col("na") - F.col("ka")).alias("p"))
+
+
 def presence(decks: DataFrame, cards: DataFrame, weeks: int = 4, least: int = 5) -> DataFrame:
     """(entity, name, start, before, after): cards whose inclusion crosses from at least 25% to under 5% or back
     between successive buckets of at least ``least`` decks of the entity."""

@@ -46,6 +46,11 @@ def presence_crossings(spark, sf):
     return _r6(_day(E.presence(decks(spark, sf), cards(spark, sf).where("board = 'main'")), "start"), "before", "after")
 
 
+def presence_regimes(spark, sf):
+    """Confirmed crossings of archetypes and camps, in buckets by density."""
+    return _r6(_day(E.presence_regimes(decks(spark, sf), cards(spark, sf).where("board = 'main'")), "start"), "before", "after", "p")
+
+
 def era_share_breaks(spark, sf):
     return _day(E.share_breaks(E.adaptive_buckets(decks(spark, sf))), "start")
 
@@ -209,4 +214,4 @@ p AS (SELECT l.id, CASE WHEN i > cut THEN 'side' ELSE 'main' END AS board, try_c
 SELECT id, board, count(*)::BIGINT AS lines, sum(copies)::BIGINT AS copies FROM p GROUP BY 1, 2""",
     "event_hourly_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
 }
-QUERIES = {k: f for k, f in globals().items() if callable(f) and (k in SQL or k in ("era_share_breaks", "drift_alarms", "positioning_mc", "sideboard_greedy", "sideboard_exact"))}
+QUERIES = {k: f for k, f in globals().items() if callable(f) and (k in SQL or k in ("presence_regimes", "era_share_breaks", "drift_alarms", "positioning_mc", "sideboard_greedy", "sideboard_exact"))}
