@@ -200,3 +200,10 @@ def test_crossings_of_camps(spark):
     c = [(t, i, "idol") for t, i, at in mine if at >= start[11]] + [(t, i, "wobble") for n, (t, i, at) in enumerate(mine) if at == start[6] and n % 3 == 0]
     got = eras.presence_regimes(d, spark.createDataFrame(c, "tournament_id string, deck_idx int, name string")).collect()
     assert [(r["entity"], r["name"], r["start"], r["before"], r["after"]) for r in got] == [("x / new", "idol", start[11], 0.0, 1.0)] and got[0]["p"] < 1e-6
+
+
+def test_positioning_has_the_default_draws(spark):
+    from tidemark.plans import ref_advice
+
+    key = lambda df: {r["a"]: tuple(r) for r in df.collect()}
+    assert key(ref_advice.positioning_mc(spark, SMALL)) == key(advice.positioning_draws(ref_advice._cells(spark, SMALL), ref_advice._field(spark, SMALL)))

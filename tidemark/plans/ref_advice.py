@@ -86,7 +86,7 @@ def best_deck_vs_best_call(spark, sf):
 
 
 def positioning_mc(spark, sf):
-    return A.positioning_draws(_cells(spark, sf), _field(spark, sf), draws=4_000)
+    return A.positioning_draws(_cells(spark, sf), _field(spark, sf))
 
 
 def field_weighted_value(spark, sf):
