@@ -207,3 +207,19 @@ def test_positioning_has_the_default_draws(spark):
 
     key = lambda df: {r["a"]: tuple(r) for r in df.collect()}
     assert key(ref_advice.positioning_mc(spark, SMALL)) == key(advice.positioning_draws(ref_advice._cells(spark, SMALL), ref_advice._field(spark, SMALL)))
+
+
+def test_running_alarm_equals_batch(spark, tmp_path):
+    """Also after 130 points, and over several batches of the stream."""
+    from datetime import date, timedelta
+
+    k = np.random.default_rng(5).binomial(100, 0.3, 200)
+    for i in range(2):
+        rows = [("a", date(2020, 1, 6) + timedelta(7 * j), int(k[j]), 100) for j in range(100 * i, 100 * i + 100)]
+        d = spark.createDataFrame(rows, "entity string, start date, decks long, field_decks long").coalesce(1)
+        d.write.mode("append").parquet(str(tmp_path / "in"))
+        q = windows.running_alarm(windows.file_stream(spark, str(tmp_path / "in"), d.schema)).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    got = [r["p_change"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()]
+    assert np.allclose(got, stats.bocpd(k, np.full(200, 100)), rtol=0, atol=1e-12)

@@ -148,18 +148,24 @@ def optimal_partition(cost, n: int, penalty: float, least: int) -> list[int]:
     return sorted(out)
 
 
+def bocpd_step(state: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, n: int, hazard: float = 1 / 25, a: float = 1.0, b: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the run length (probabilities, alphas, betas) after one more beta-binomial observation."""
+    lbeta = np.vectorize(lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y))
+    run, al, be = state
+    comb = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    like = np.exp(comb + lbeta(al + k, be + n - k) - lbeta(al, be))
+    grown = run * like * (1 - hazard)
+    run = np.concatenate([[(run * like * hazard).sum()], grown])
+    run /= run.sum()
+    al, be = np.concatenate([[a], al + k]), np.concatenate([[b], be + n - k])
+    keep = (run > 1e-9) | (np.arange(len(run)) < 2)
+    return run[keep], al[keep], be[keep]
+
+
 def bocpd(successes: np.ndarray, trials: np.ndarray, hazard: float = 1 / 25, a: float = 1.0, b: float = 1.0) -> np.ndarray:
     """Probability after each point that the run began with it or the one before; beta-binomial observations."""
-    lbeta = np.vectorize(lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y))
-    run, al, be, out = np.array([1.0]), np.array([a]), np.array([b]), []
+    state, out = (np.array([1.0]), np.array([a]), np.array([b])), []
     for k, n in zip(successes, trials):
-        comb = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-        like = np.exp(comb + lbeta(al + k, be + n - k) - lbeta(al, be))
-        grown = run * like * (1 - hazard)
-        run = np.concatenate([[(run * like * hazard).sum()], grown])
-        run /= run.sum()
-        al, be = np.concatenate([[a], al + k]), np.concatenate([[b], be + n - k])
-        keep = (run > 1e-9) | (np.arange(len(run)) < 2)
-        run, al, be = run[keep], al[keep], be[keep]
-        out.append(run[:2].sum())
+        state = bocpd_step(state, k, n, hazard, a, b)
+        out.append(state[0][:2].sum())
     return np.array(out)

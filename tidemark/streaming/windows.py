@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.stats import bocpd
+from tidemark.functions.stats import bocpd_step
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int = 16) -> DataFrame:
@@ -27,19 +27,21 @@ def tumbling(events: DataFrame, at: str, by: str, value: str, width: str = "1 ho
     return g.select(F.col("w.start").alias("start"), by, "n", "value")
 
 
-def running_alarm(buckets: DataFrame, threshold: float = 0.5, keep: int = 130) -> DataFrame:
+def running_alarm(buckets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(entity, start, p_change, alarm) for each new bucket (entity, start, decks, field_decks) of a stream. The state
-    of an entity is its last ``keep`` points; buckets must come in order per entity."""
+    of an entity is the posterior of its run length, so all points count as in the batch; buckets must come in order
+    per entity."""
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k, n = (list(x) for x in state.get) if state.exists else ([], [])
+        seen, *post = state.get if state.exists else (0, [1.0], [1.0], [1.0])
+        post = tuple(np.array(x) for x in post)
         new = pd.concat(list(pdfs)).sort_values("start")
         out = []
         for start, decks, field in zip(new["start"], new["decks"], new["field_decks"]):
-            k, n = (k + [int(decks)])[-keep:], (n + [int(field)])[-keep:]
-            p = float(bocpd(np.array(k), np.array(n))[-1])
-            out.append((key[0], start, p, p >= threshold and len(k) > 2))
-        state.update((k, n))
+            post, seen = bocpd_step(post, int(decks), int(field)), seen + 1
+            p = float(post[0][:2].sum())
+            out.append((key[0], start, p, p >= threshold and seen > 2))
+        state.update((seen, *(x.tolist() for x in post)))
         yield pd.DataFrame(out, columns=["entity", "start", "p_change", "alarm"])
 
-    return buckets.groupBy("entity").applyInPandasWithState(step, "entity string, start date, p_change double, alarm boolean", "k array<long>, n array<long>", "append", GroupStateTimeout.NoTimeout)
+    return buckets.groupBy("entity").applyInPandasWithState(step, "entity string, start date, p_change double, alarm boolean", "seen long, run array<double>, al array<double>, be array<double>", "append", GroupStateTimeout.NoTimeout)
