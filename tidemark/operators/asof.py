@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.skew import ROWS_PER_TASK, salted_join
+from tidemark.session import durable
 
 _DAY = 86_400_000_000
 
@@ -45,7 +46,7 @@ def as_known(
         _entity(history_entity).alias("e"), us(known_at).alias("known"), us(valid_from).alias("since"), F.col(history_id).alias("id")
     ).where("e is not null and known is not null and id is not null")
     hist = hist.select("e", F.greatest("known", "since").alias("t"), F.struct(F.coalesce("since", F.lit(-(2**62))).alias("s"), "known", "id").alias("best"))
-    changes = hist.groupBy("e", "t").agg(F.max("best").alias("best"))  # one per entity and instant
+    changes = durable(hist.groupBy("e", "t").agg(F.max("best").alias("best")))  # one per entity and instant
     ev = events.select(F.col(event_id).alias("ev"), _entity(event_entity).alias("e"), us(event_at).alias("at"))
     ev = ev.where("ev is not null and e is not null and at is not null").distinct()
 
@@ -72,7 +73,7 @@ def as_known(
         "e", "b", F.col("t").alias("from"), F.lead("t").over(inside).alias("to"), F.max("best").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("best")
     )
     # Events after the last change all belong to the open bucket behind it.
-    ev = ev.withColumn("b", F.least(bucket("at"), F.lit(int(last) + 1)))
+    ev = durable(ev.withColumn("b", F.least(bucket("at"), F.lit(int(last) + 1))))
     hit = salted_join(ev, intervals, ["e", "b"], ["ev", "at"], rows_per_task=rows_per_task)
     hit = hit.where((F.col("at") >= F.col("from")) & (F.col("to").isNull() | (F.col("at") < F.col("to"))))
     return hit.select(F.col("ev").alias(event_id), F.col("best.id").alias(history_id))

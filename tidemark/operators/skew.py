@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import durable, shuffled
+
 #: Rows of one key that one task may take in a salted join.
 ROWS_PER_TASK = 500_000
 
@@ -14,18 +16,21 @@ ROWS_PER_TASK = 500_000
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Equi-join of a large ``left`` with ``right``; keys with more than ``rows_per_task`` left rows are split.
 
-    Only hot keys get salts, by a hash of ``spread`` on the left and by repetition on the right. There are fewer
-    than rows(left) / rows_per_task hot keys, which bounds what is broadcast. Null keys match nothing.
+    Only hot keys get salts, by a hash of ``spread`` on the left and by repetition on the right. They are counted
+    first (``left`` is evaluated twice: pass what is cheap to evaluate); without hot keys it is a plain join. Neither
+    side is ever broadcast, the hot keys only if their table is small. Null keys match nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     on = list(on)
     hot = left.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_task)
-    hot = F.broadcast(hot.select(*on, F.ceil(F.col("__n") / rows_per_task).cast("int").alias("__salts")))
+    hot = durable(hot.select(*on, F.ceil(F.col("__n") / rows_per_task).cast("int").alias("__salts")))
+    if hot.isEmpty():
+        return left.join(shuffled(right), on, how)
     salts = F.coalesce("__salts", F.lit(1))
     lhs = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
     rhs = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return lhs.join(rhs, [*on, "__salt"], how).drop("__salt")
+    return lhs.join(shuffled(rhs), [*on, "__salt"], how).drop("__salt")
 
 
 def eager_join_rollup(
