@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sets import hash_family, lists, mix
-from tidemark.session import durable
+from tidemark.operators.skew import salted_join
+from tidemark.session import durable, shuffled
 
 #: Bits of one segment. 2**20 values keep unrelated sets apart; segments are added until the recall is met.
 SEGMENT_BITS = 20
+#: Records with one segment value that one task compares with all others that have it.
+SEGMENT_ROWS = 2_000
 #: 64-bit words of the code compared by Hamming distance.
 CODE_WORDS = 2
 
@@ -73,14 +76,14 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8, miss: float = 0.001
     Copies collapse before anything is joined, so a group of equal records costs one sketch. Sketches meet in
     equi-joins on code segments; what lies beyond the calibrated radius or cannot reach the threshold by size is
     dropped inside the join; the rest is verified on the original sets, so no reported pair is false and a true one
-    is missed with probability of about ``miss`` at the threshold, less above. Segment groups that are large are
-    split by adaptive skew joins; no group is collected.
+    is missed with probability of about ``miss`` at the threshold, less above. Large segment groups are salted, so
+    their pairs are formed by many tasks; no group is collected and no table of records or segments is broadcast.
     """
     segments, radius = calibrate(threshold, miss)
-    s = sets.where(F.size("items") > 0).withColumn("h", F.md5(F.concat_ws("\u0001", "items")))
+    s = durable(sets.where(F.size("items") > 0).select("key", "items", F.md5(F.concat_ws("\u0001", "items")).alias("h")))
     reps = s.groupBy("h").agg(F.min("key").alias("rep"), F.min(F.size("items")).alias("size"))
-    members = durable(s.select("key", "h").join(reps, "h").select("key", "rep", "size"))
-    chosen = s.join(members.where("key = rep").select("key"), "key", "left_semi").select(F.col("key").alias("rep"), "items")
+    members = durable(s.select("key", "h").join(shuffled(reps), "h").select("key", "rep", "size"))
+    chosen = s.join(shuffled(members.where("key = rep").select("key")), "key", "left_semi").select(F.col("key").alias("rep"), "items")
     hashed = chosen.select("rep", F.size("items").alias("size"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
     types = dict(hashed.dtypes)
     schema = f"rep {types['rep']}, size int, segments array<bigint>, " + ", ".join(f"c{w} bigint" for w in range(CODE_WORDS))
@@ -89,7 +92,7 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8, miss: float = 0.001
     a = rows.select("segment", *[F.col(c).alias(f"{c}_a") for c in rows.columns if c != "segment"])
     b = rows.select("segment", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "segment"])
     distance = sum((F.bit_count(F.col(f"c{w}_a").bitwiseXOR(F.col(f"c{w}_b"))) for w in range(1, CODE_WORDS)), F.bit_count(F.col("c0_a").bitwiseXOR(F.col("c0_b"))))
-    near = a.join(b, "segment").where(
+    near = salted_join(a, b, ["segment"], ["rep_a"], rows_per_task=SEGMENT_ROWS).where(
         (F.col("rep_a") < F.col("rep_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9) & (distance <= radius)
     )
     cand = near.select("rep_a", "rep_b").distinct()
@@ -97,20 +100,23 @@ def similar_classes(sets: DataFrame, threshold: float = 0.8, miss: float = 0.001
     ib = chosen.select(F.col("rep").alias("rep_b"), F.col("items").alias("ib"))
     both = F.size(F.array_intersect("ia", "ib"))
     union = F.size("ia") + F.size("ib") - both
-    pairs = cand.join(ia, "rep_a").join(ib, "rep_b").select("rep_a", "rep_b", (both / union).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    pairs = cand.join(shuffled(ia), "rep_a").join(shuffled(ib), "rep_b").select("rep_a", "rep_b", (both / union).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     return members, pairs
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(key_a, key_b, similarity) of all pairs of distinct records, key_a < key_b: equal sets and class pairs expanded."""
+    """(key_a, key_b, similarity) of all pairs of distinct records, key_a < key_b: equal sets and class pairs expanded.
+
+    A set that n records share gives n * (n - 1) / 2 rows here; ``similarity_links`` and ``similar_classes`` do not.
+    """
     members, pairs = similar_classes(sets, threshold)
     m = members.select("key", "rep")
-    many = m.join(m.groupBy("rep").count().where("count > 1").select("rep"), "rep", "left_semi")
-    same = many.select("rep", F.col("key").alias("key_a")).join(many.select("rep", F.col("key").alias("key_b")), "rep")
+    many = m.join(shuffled(m.groupBy("rep").count().where("count > 1").select("rep")), "rep", "left_semi")
+    same = salted_join(many.select("rep", F.col("key").alias("key_a")), many.select("rep", F.col("key").alias("key_b")), ["rep"], ["key_a"], rows_per_task=SEGMENT_ROWS)
     same = same.where("key_a < key_b").select("key_a", "key_b", F.lit(1.0).alias("similarity"))
     ma = m.select(F.col("rep").alias("rep_a"), F.col("key").alias("ka"))
     mb = m.select(F.col("rep").alias("rep_b"), F.col("key").alias("kb"))
-    cross = pairs.join(ma, "rep_a").join(mb, "rep_b").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
+    cross = pairs.join(shuffled(ma), "rep_a").join(shuffled(mb), "rep_b").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
     return same.unionByName(cross)
 
 
@@ -122,7 +128,7 @@ def similarity_links(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     members, pairs = similar_classes(sets, threshold)
     n = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     both = pairs.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).union(pairs.select("rep_b", "rep_a"))
-    outer = both.join(n.select(F.col("rep").alias("other"), F.col("copies").alias("m")), "other").groupBy("rep").agg(F.sum("m").alias("outer"))
-    per = n.join(outer, "rep", "left").select("rep", "copies", (F.col("copies") - 1 + F.coalesce("outer", F.lit(0))).alias("links"))
-    r = sets.select("key").join(members.select("key", "rep").join(per, "rep"), "key", "left")
+    outer = both.join(shuffled(n.select(F.col("rep").alias("other"), F.col("copies").alias("m"))), "other").groupBy("rep").agg(F.sum("m").alias("outer"))
+    per = n.join(shuffled(outer), "rep", "left").select("rep", "copies", (F.col("copies") - 1 + F.coalesce("outer", F.lit(0))).alias("links"))
+    r = sets.select("key").join(shuffled(members.select("key", "rep").join(shuffled(per), "rep")), "key", "left")
     return r.select("key", F.col("rep").alias("class_key"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
