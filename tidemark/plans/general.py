@@ -70,17 +70,32 @@ def _registered(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("tournament_id", "deck_idx").agg(F.min(label_key(F.col("archetype"))).alias("archetype"), F.max(F.size(F.array_distinct(F.coalesce("cards", F.array())))).alias("names"))
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per registered deck with a label: parent (the label key), names (distinct names on the list)."""
+    d = _registered(spark, sf).where("archetype is not null and archetype <> ''")
+    return d.select(F.col("archetype").alias("parent"), "names")
+
+
 def p7_parent_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Per parent and camp: assigned decks, of these the registered ones, and the card names on their lists."""
-    right = _registered(spark, sf)
-    r = eager_join_rollup(_latest_assignments(spark, sf), right, ["tournament_id", "deck_idx"], ["parent", "camp"], {}, {"registered": F.lit(1), "names": F.col("names")}, how="left")
-    return r.select("parent", "camp", F.col("n_left").alias("decks"), F.coalesce("registered", F.lit(0)).cast("long").alias("registered"), F.coalesce("names", F.lit(0)).cast("long").alias("names"))
+    """Per parent and camp: assigned decks, registered decks of that label, pairs of the two, names on the registered lists.
+
+    Joined on the label, where a few keys hold most rows on both sides: row by row the join would give ``pairs`` rows.
+    """
+    r = eager_join_rollup(_latest_assignments(spark, sf), _labels(spark, sf), ["parent"], ["parent", "camp"], {}, {"names_met": F.col("names"), "pairs": F.lit(1)}, how="left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return r.select(
+        "parent", "camp", F.col("n_left").alias("decks"), (zero("pairs") / F.col("n_left")).cast("long").alias("registered"), zero("pairs").alias("pairs"), (zero("names_met") / F.col("n_left")).cast("long").alias("names")
+    )
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """(parent, camp): the camp with the most decks of each parent, ties to the smaller camp."""
+    """(parent, camp): the camp with the most decks of each parent, ties to the smaller camp.
+
+    Camps are compared by decks with and without the registered decks of the label: both orders are the same, as all
+    camps of a parent meet the same registered decks.
+    """
     r = p7_parent_results(spark, sf)
-    top = r.groupBy("parent").agg(F.min(F.struct((-F.col("decks")).alias("d"), "camp")).alias("s"))
+    top = r.groupBy("parent").agg(F.min(F.struct((-F.col("decks") - F.col("pairs")).alias("d"), "camp")).alias("s"))
     return top.select("parent", F.col("s.camp").alias("camp"))
 
 
@@ -101,7 +116,9 @@ d AS (SELECT tournament_id, deck_idx, min({sql_label('archetype')}) AS archetype
 P7_SQL = {
     "p7_found": _P7_LATEST + "SELECT parent, camp FROM (SELECT parent, camp, row_number() OVER (PARTITION BY parent ORDER BY count(*) DESC, camp) AS r FROM l GROUP BY parent, camp) WHERE r = 1",
     "p7_parent_results": _P7_LATEST
-    + "SELECT parent, camp, count(*)::BIGINT AS decks, count(d.names)::BIGINT AS registered, coalesce(sum(names), 0)::BIGINT AS names FROM l LEFT JOIN d USING (tournament_id, deck_idx) GROUP BY parent, camp",
+    + """, g AS (SELECT parent, camp, count(*) AS decks FROM l GROUP BY 1, 2),
+e AS (SELECT archetype, count(*) AS registered, sum(names) AS names FROM d WHERE archetype <> '' GROUP BY 1)
+SELECT parent, camp, decks::BIGINT AS decks, coalesce(registered, 0)::BIGINT AS registered, (decks * coalesce(registered, 0))::BIGINT AS pairs, coalesce(names, 0)::BIGINT AS names FROM g LEFT JOIN e ON parent = archetype""",
     "p7_archetype_results": _P7_LATEST
     + """, c AS (SELECT tournament_id, deck_idx, count(*) AS card_rows, sum("count") AS copies FROM deck_cards GROUP BY ALL)
 SELECT coalesce(archetype, '') AS archetype, count(*)::BIGINT AS decks, coalesce(sum(card_rows), 0)::BIGINT AS card_rows, coalesce(sum(copies), 0)::BIGINT AS copies FROM d LEFT JOIN c USING (tournament_id, deck_idx) GROUP BY 1""",
