@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import html
+import pickle
 import re
 import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from tidemark.session import durable
 
 #: Words of a shingle, and words in a row that make a leak.
 SHINGLE, RUN = 5, 12
-#: Shingles of one block of items; a block's index (about 60 MB) goes to all workers, and larger test sets take
+#: Words of one block of items; a block's index (about 60 MB) goes to all workers, and larger test sets take
 #: one scan of the documents for each block.
-BLOCK_SHINGLES = 500_000
+BLOCK_WORDS = 500_000
 
 _TAG = re.compile(r"</?[a-z][^<>]{0,200}>")
 _MARK = re.compile("[̀-ͯ]+")
@@ -73,19 +77,37 @@ def own_words(items: DataFrame, item: str, text: str, shared_by: int = 3) -> Dat
 
 
 class Index:
-    """Shingles of a block of items: word numbers, and the shingles as rows of word numbers in order of their key."""
+    """Prefix shingles of a block of items, with what is needed to verify their windows in place.
+
+    Shingles are ordered by rarity: in how many items they stand, then how many times their rarest word is used in
+    the items, then by their words. Of each window of ``run`` words only the first in this order, its prefix, is
+    indexed, with all the windows (item, offset) it stands for and its place in them. A document that holds a window holds its
+    prefix at the same place, so any order is exact; a rare prefix is found seldom.
+    """
 
     _P = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, texts: list[list[str]], shingle: int):
-        self.k = shingle
-        self.number = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
-        rows = list(dict.fromkeys(tuple(self.number[w] for w in t[i : i + shingle]) for t in texts for i in range(len(t) - shingle + 1)))
-        ids = np.array(rows, dtype=np.int64).reshape(-1, shingle)
+    def __init__(self, texts: list[tuple[object, list[str]]], run: int, shingle: int):
+        self.k, self.run = shingle, run
+        uses = Counter(w for _, t in texts for w in t)
+        self.number = {w: i + 1 for i, w in enumerate(uses)}
+        rank = [0] + [uses[w] for w in self.number]
+        self.items = [i for i, _ in texts]
+        self.words = [np.array([self.number[w] for w in t], dtype=np.int64) for _, t in texts]
+        parts = [[tuple(t[i : i + shingle].tolist()) for i in range(len(t) - shingle + 1)] for t in self.words]
+        held = Counter(s for p in parts for s in set(p))
+        order = {s: (n, min(rank[x] for x in s), s) for s, n in held.items()}
+        need = run - shingle + 1
+        windows: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, p in enumerate(parts):
+            for at in range(len(p) - need + 1):
+                delta = min(range(need), key=lambda d: order[p[at + d]])
+                windows[p[at + delta]].append((i, at, delta))
+        ids = np.array(list(windows), dtype=np.int64).reshape(-1, shingle)
         key = self._key(ids)
-        self.order = np.argsort(key, kind="stable")
-        self.keys, self.ids = key[self.order], ids[self.order]
-        self.of = {tuple(r): i for i, r in enumerate(self.ids.tolist())}
+        by = np.argsort(key, kind="stable")
+        self.keys, self.ids = key[by], ids[by]
+        self.windows = [windows[tuple(s)] for s in self.ids.tolist()]
         if len(np.unique(self.keys)) < len(self.keys):
             raise RuntimeError("two shingles have one key; choose another multiplier")
 
@@ -96,8 +118,8 @@ class Index:
             h ^= h >> np.uint64(32)
         return h
 
-    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and rows of the shingles of a sequence of word numbers (0: a word of no item); exact."""
+    def prefixes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and rows of the prefix shingles of a sequence of word numbers (0: a word of no item); exact."""
         k = self.k
         if len(numbers) < k or not len(self.keys):
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -108,67 +130,91 @@ class Index:
         ok = (self.ids[row] == ids).all(axis=1)
         return at[ok], row[ok]
 
-
-def _hits(shared, run: int):
+    def found(self, numbers: np.ndarray, start: int, end: int, at: np.ndarray, row: np.ndarray) -> dict[int, set[int]]:
+        """Item number to offsets of its windows that stand whole in numbers[start:end], from the prefixes there."""
+        out: dict[int, set[int]] = defaultdict(set)
+        for pos, r in zip(at.tolist(), row.tolist()):
+            for item, off, delta in self.windows[r]:
+                first = pos - delta
+                if first < start or first + self.run > end or off in out[item]:
+                    continue  # length and position
+                if (numbers[first : first + self.run] == self.words[item][off : off + self.run]).all():
+                    out[item].add(off)
+        return {i: o for i, o in out.items() if o}
+
+
+def _longest(offsets: set[int], run: int) -> int:
+    """Most words in a row that windows at these offsets of an item cover."""
+    best = n = 0
+    last = None
+    for o in sorted(offsets):
+        n = n + 1 if last is not None and o == last + 1 else 1
+        best, last = max(best, n), o
+    return best + run - 1
+
+
+def _scan(shared, run: int, item_type: pa.DataType):
     class Numbers(dict):
         def __missing__(self, word: str) -> int:
             return 0
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = pickle.loads(shared.value)
         number = Numbers(index.number).__getitem__
         for b in batches:
-            who, size, sequence = [], [], []
+            who, start, sequence, n = [], [], [], 0
             for i, t in enumerate(b.column("text").to_pylist()):
                 words = plain_words(t)
                 if len(words) >= run:
                     who.append(i)
-                    size.append(len(words))
+                    start.append(n)
                     sequence.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
-                    sequence.append(np.zeros(1, np.int64))  # no shingle spans two documents
+                    sequence.append(np.zeros(1, np.int64))  # no window spans two documents
+                    n += len(words) + 1
             if not who:
                 continue
-            at, row = index.find(np.concatenate(sequence))
-            start = np.concatenate([[0], np.cumsum(np.array(size) + 1)])
+            numbers, start = np.concatenate(sequence), np.array([*start, n])
+            at, row = index.prefixes(numbers)
             d = np.searchsorted(start, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc").take(pa.array(np.array(who)[d])), pa.array(np.array(size)[d].astype(np.int32)), pa.array((at - start[d]).astype(np.int32)), pa.array(row.astype(np.int32))], names=["doc", "n", "pos", "s"]
-            )
+            rows = []
+            for x in np.unique(d).tolist():
+                mine = slice(*np.searchsorted(d, [x, x + 1]))
+                for item, offsets in index.found(numbers, int(start[x]), int(start[x + 1]) - 1, at[mine], row[mine]).items():
+                    rows.append((who[x], index.items[item], sorted(offsets)))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["doc", "item", "offsets"]
+                )
 
     return go
 
 
-def _leaks_of(docs: DataFrame, texts: list[tuple], item_field, run: int, shingle: int) -> DataFrame:
+def _runs(pdfs: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
+    for p in pdfs:
+        offs = [set(o) for o in p["offsets"]]
+        yield pd.DataFrame({"doc": p["doc"], "item": p["item"], "windows": [len(o) for o in offs], "longest": [_longest(o, run) for o in offs]})
+
+
+def _leaks_of(docs: DataFrame, texts: list[tuple], item_type: str, run: int, shingle: int) -> DataFrame:
     spark = docs.sparkSession
-    index = Index([w for _, w in texts], shingle)
-    parts = [(i, at, index.of[tuple(index.number[x] for x in w[at : at + shingle])]) for i, w in texts for at in range(len(w) - shingle + 1)]
-    parts = spark.createDataFrame(parts, f"item {item_field}, at int, s int")
-    hits = durable(docs.mapInArrow(_hits(spark.sparkContext.broadcast(index), run), f"doc {dict(docs.dtypes)['doc']}, n int, pos int, s int"))
-    rarity = hits.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    # Windows whose shingles all are in the corpus; the rarest shingle of each is its prefix.
-    need = run - shingle + 1
-    w = Window.partitionBy("item").orderBy("at").rangeBetween(0, need - 1)
-    prefix = parts.join(rarity, "s").select("item", "at", F.count(F.lit(1)).over(w).alias("k"), F.min(F.struct("df", "s", "at")).over(w).alias("m")).where(F.col("k") == need)
-    prefix = prefix.select("item", F.col("at").alias("off"), F.col("m.s").alias("s"), (F.col("m.at") - F.col("at")).alias("delta"))
-    cand = hits.join(prefix, "s").withColumn("start", F.col("pos") - F.col("delta")).where((F.col("start") >= 0) & (F.col("start") + run <= F.col("n")))
-    cand = cand.select("doc", "item", (F.col("start") - F.col("off")).alias("d")).distinct()
-    # Verify: all shingles of the window stand in a row at the same distance between document and item.
-    full = hits.join(parts, "s").withColumn("d", F.col("pos") - F.col("at")).join(cand, ["doc", "item", "d"], "left_semi").select("doc", "item", "d", "at").distinct()
-    row = F.row_number().over(Window.partitionBy("doc", "item", "d").orderBy("at"))
-    runs = full.select("doc", "item", "d", "at", (F.col("at") - row).alias("g")).groupBy("doc", "item", "d", "g").agg(F.count(F.lit(1)).alias("len"), F.min("at").alias("first")).where(F.col("len") >= need)
-    windows = runs.select("doc", "item", (F.col("len") + shingle - 1).alias("words"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("len") - need)).alias("off"))
-    return windows.groupBy("doc", "item").agg(F.count_distinct("off").alias("windows"), F.max("words").cast("int").alias("longest"))
-
-
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = RUN, shingle: int = SHINGLE, block: int = BLOCK_SHINGLES) -> DataFrame:
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(Index(texts, run, shingle)))  # by value: workers need no copy of the package
+    types, arrow = dict(docs.dtypes), to_arrow_type(_parse_datatype_string(item_type))
+    hits = docs.mapInArrow(_scan(shared, run, arrow), f"doc {types['doc']}, item {item_type}, offsets array<int>")
+    # Rows of one id are one document; hits are few, one row for each document and item.
+    hits = hits.groupBy("doc", "item").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
+    return hits.mapInPandas(lambda pdfs: _runs(pdfs, run), f"doc {types['doc']}, item {item_type}, windows bigint, longest int")
+
+
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, run: int = RUN, shingle: int = SHINGLE, block: int = BLOCK_WORDS) -> DataFrame:
     """(doc, item, windows, longest): documents that hold at least ``run`` words in a row of an item's own wording.
 
     windows counts the item's windows of ``run`` words found (each once), longest the most words in a row.
 
     An item's windows are sets of shingles that a document must hold completely, so one necessary shingle is enough
-    as prefix; shingles are ordered by rarity in the corpus and the rarest of each window is joined. A hit fixes
-    where the window must start: starts outside the document are dropped (length and position), and where one is
-    left all shingles of the window must stand in a row. Shingles are equal only if their words are, so this is exact.
+    as prefix; shingles are ordered by rarity among the items and only the rarest of each window is looked for, which
+    takes one scan of the documents (rarity in the corpus would take two). A hit fixes where the window must start:
+    starts outside the document are dropped (length and position), and where one is left the whole window of the item
+    is compared word by word where the document is read. Words are equal only if their letters are, so this is exact.
 
     The test set is taken in blocks of bounded size, each against all documents. Documents or items without ``run``
     words have no leak; repeated documents are all reported; null ids are ignored; equal ids count as one document.

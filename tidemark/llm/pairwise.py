@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.session import durable
 
-#: Up to so many items the chain is a dense matrix of one task (32 MB); above, it is iterated as joins.
+#: Up to so many items the chain is a dense matrix of one task (32 MB); above, each step is a join.
 DENSE_ITEMS = 2_000
+#: Steps of the joined chain between two durable states, and share of steps on which the walker stays.
+STEPS, LAZY = 10, 0.1
 
 
 def plan_id(c: Column) -> Column:
@@ -51,69 +54,65 @@ def _dense(max_rounds: int, tolerance: float):
         i, j = np.searchsorted(ids, e["i"]), np.searchsorted(ids, e["j"])
         m = np.zeros((len(ids), len(ids)))
         np.add.at(m, (i, j), e["rate"].to_numpy())
-        m = (m / m.sum(axis=1, keepdims=True) + np.eye(len(ids))) / 2
+        m = m / m.sum(axis=1, keepdims=True) * (1 - LAZY) + np.eye(len(ids)) * LAZY
         x = np.full(len(ids), 1.0 / len(ids))
         for _ in range(max_rounds):
-            y = x @ m
-            done = np.abs(y - x).sum() < tolerance
-            x = y
-            if done:
+            x, old = x @ m, x
+            if np.abs(x - old).sum() < tolerance:
                 break
         yield pd.DataFrame({"id": ids, "mass": x})
 
     return run
 
 
-def _spread(chain: DataFrame, max_rounds: int, tolerance: float) -> DataFrame:
+def _stationary(chain: DataFrame, max_rounds: int, tolerance: float) -> DataFrame:
+    """(id, mass): stationary distribution of the lazy chain by power iteration; each step is a join and a sum."""
     out = chain.groupBy("i").agg(F.sum("rate").alias("out"))
-    p = durable(chain.join(out, "i").select("i", "j", (F.col("rate") / F.col("out")).alias("p")))
-    n = out.count()
-    x = durable(out.select(F.col("i").alias("id"), F.lit(1.0 / n).alias("mass")))
-    for r in range(max_rounds):
-        moved = p.join(x, p["i"] == x["id"]).groupBy("j").agg(F.sum(F.col("p") * F.col("mass")).alias("got"))
-        y = x.join(moved, x["id"] == moved["j"], "left").select("id", ((F.col("mass") + F.coalesce("got", F.lit(0.0))) / 2).alias("mass"), F.col("mass").alias("old"))
-        if r % 5 == 4:
-            y = durable(y)
-            gap = y.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0]
-            x = y.select("id", "mass")
-            if gap < tolerance:
-                break
-        else:
-            x = y.select("id", "mass")
+    p = chain.join(out, "i").select("i", "j", (F.col("rate") / F.col("out") * (1 - LAZY)).alias("p"))
+    p = durable(p.union(out.select("i", "i", F.lit(LAZY))))
+    x = out.select(F.col("i").alias("id"))
+    x = durable(x.withColumn("mass", F.lit(1.0 / max(1, x.count()))))
+    for _ in range(0, max_rounds, STEPS):
+        y = x
+        for _ in range(STEPS):
+            y = p.join(y, p["i"] == y["id"]).groupBy(F.col("j").alias("id")).agg(F.sum(F.col("p") * F.col("mass")).alias("mass"))
+        y = durable(y)
+        gap = y.join(x.withColumnRenamed("mass", "old"), "id").agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0]
+        x = y
+        if gap is None or gap < tolerance:
+            break
     return x
 
 
-def rank_items(pairs: DataFrame, smoothing: float = 0.5, max_rounds: int = 5_000, tolerance: float = 1e-12, dense_items: int = DENSE_ITEMS) -> DataFrame:
+def _places(s: DataFrame) -> DataFrame:
+    """``s`` (id, strength, ...) with its place by falling strength, ties to the smaller id: ranks inside sorted
+    ranges plus the rows of the ranges before, so no task holds more than a range."""
+    s = durable(s.repartitionByRange(F.desc("strength"), "id").withColumn("part", F.spark_partition_id()))
+    before = s.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))  # one row for each range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("strength"), "id"))
+    return s.join(F.broadcast(before.select("part", "before")), "part").withColumn("place", (rank + F.col("before")).cast("long")).drop("part", "before")
+
+
+def rank_items(pairs: DataFrame, smoothing: float = 0.5, max_rounds: int = 5_000, tolerance: float = 1e-10, dense_items: int = DENSE_ITEMS) -> DataFrame:
     """(id, strength, games, place) of all items of ``pairs`` (a, b, wins, games).
 
     A walker on an item moves to the ones that beat it, in proportion to the smoothed number of its losses to them
-    (each rate normalised by all rates of the item, half of the steps lazy). The stationary mass of an item divided
+    (each rate normalised by all rates of the item, one step in ten lazy). The stationary mass of an item divided
     by its expected time of stay, i.e. by the sum of its outgoing rates over its games, is its strength: an item met
     often is not stronger for that. Strengths are scaled to sum 1 and ties in place go to the smaller id. Smoothing
     gives every met pair a small rate both ways, so an item without a loss keeps a finite strength. Items that no
     chain of comparisons connects are ranked by their mass within their own part. No pairs: no rows.
 
     The pair table has at most items**2 rows whatever the number of games. Up to ``dense_items`` items (counted
-    first) one task iterates a dense matrix; above, each step is a join and an aggregation with checkpoints.
+    first) one task iterates a dense matrix; above, each step is a join and a sum. Both give the same strengths.
     """
     pairs = durable(pairs)
     chain = _chain(pairs, smoothing)
-    out = chain.groupBy("i").agg(F.sum("rate").alias("out"))
+    out = chain.groupBy(F.col("i").alias("id")).agg(F.sum("rate").alias("out"))
     per = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "games"), F.struct(F.col("b").alias("id"), "games"))).alias("e")).select("e.*").groupBy("id").agg(F.sum("games").alias("games"))
-    items = per.count()
-    if items == 0:
-        return per.select("id", F.lit(0.0).alias("strength"), "games", F.lit(0).alias("place"))
-    if items <= dense_items:
-        mass = chain.coalesce(1).mapInPandas(_dense(max_rounds, tolerance), "id string, mass double")
-    else:
-        mass = _spread(chain, max_rounds, tolerance)
-    s = durable(mass.join(out.withColumnRenamed("i", "id"), "id").select("id", (F.col("mass") / F.col("out")).alias("s")).join(per, "id"))
+    few = 0 < per.count() <= dense_items
+    mass = chain.coalesce(1).mapInPandas(_dense(max_rounds, tolerance), "id string, mass double") if few else _stationary(chain, max_rounds, tolerance)
+    s = mass.join(out, "id").select("id", (F.col("mass") / F.col("out")).alias("s")).join(per, "id")
+    s = durable(s)
     total = s.agg(F.sum("s")).first()[0]
-    s = s.select("id", (F.col("s") / F.lit(total)).alias("strength"), "games")
-    stronger = s.select(F.struct((-F.col("strength")).alias("o"), "id").alias("k"), "id")
-    if items <= dense_items:
-        from pyspark.sql.window import Window
-
-        return s.join(stronger.select("id", F.row_number().over(Window.orderBy("k")).cast("long").alias("place")), "id")
-    order = stronger.sort("k").rdd.zipWithIndex().map(lambda x: (x[0]["id"], x[1] + 1)).toDF("id string, place bigint")
-    return s.join(order, "id")
+    return _places(s.select("id", (F.col("s") / F.lit(total)).alias("strength"), "games")).select("id", "strength", "games", "place")

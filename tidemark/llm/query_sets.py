@@ -27,10 +27,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return rank_items(_plan_pairs(spark, sf)).where("place <= 12").select(F.col("id").alias("subject_id"))
 
 
+def _ranking(r: DataFrame) -> DataFrame:
+    return r.select(F.col("id").alias("subject_id"), F.round("strength", 6).alias("strength"), "games", "place")
+
+
 def p2_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """All plans with strength, games and place."""
-    r = rank_items(_plan_pairs(spark, sf))
-    return r.select(F.col("id").alias("subject_id"), F.round("strength", 9).alias("strength"), "games", "place")
+    return _ranking(rank_items(_plan_pairs(spark, sf)))
+
+
+def p2_ranking_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by joins, the way for more items than one task's matrix holds."""
+    return _ranking(rank_items(_plan_pairs(spark, sf), tolerance=1e-8, dense_items=0))
 
 
 def p2_pair_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,6 +52,15 @@ WITH c AS (SELECT DISTINCT cell_id, window_start, provenance, {_PLAN.format('sub
 v AS (SELECT *, least(s, o) AS a, greatest(s, o) AS b, CASE WHEN s < o THEN w ELSE l END AS wa FROM c WHERE s <> o AND s <> '' AND o <> '' AND w >= 0 AND l >= 0 AND w + l > 0),
 g AS (SELECT a, b, window_start, provenance, wa, w + l AS n, greatest(count(*) FILTER (WHERE s < o), count(*) FILTER (WHERE s > o)) AS k FROM v GROUP BY ALL)
 SELECT a, b, sum(wa * k)::BIGINT AS wins, sum(n * k)::BIGINT AS games FROM g GROUP BY a, b"""
+_RANK = f"""
+WITH RECURSIVE pr AS ({P2_SQL}),
+e AS (SELECT a AS i, b AS j, games - wins + 0.5 AS rate, games FROM pr UNION ALL SELECT b, a, wins + 0.5, games FROM pr),
+o AS (SELECT i, sum(rate)::DOUBLE AS out, sum(games)::BIGINT AS games FROM e GROUP BY 1),
+p AS (SELECT e.i, j, rate / out / 2 AS p FROM e JOIN o ON e.i = o.i UNION ALL SELECT i, i, 0.5 FROM o),
+x AS (SELECT 0 AS r, i AS id, 1.0::DOUBLE / (SELECT count(*) FROM o) AS mass FROM o UNION ALL SELECT x.r + 1, j, sum(mass * p)::DOUBLE FROM x JOIN p ON p.i = x.id WHERE x.r < 300 GROUP BY 1, 2),
+s AS (SELECT id, mass / out AS s, games FROM x JOIN o ON id = i WHERE r = 300),
+z AS (SELECT id AS subject_id, s / (SELECT sum(s) FROM s) AS v, games FROM s)
+SELECT subject_id, round(v, 6) AS strength, games, row_number() OVER (ORDER BY v DESC, subject_id) AS place FROM z"""
 
 
 # --- 3: spellings of names ---
@@ -146,6 +163,7 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_ranking": p2_ranking,
+    "p2_ranking_joined": p2_ranking_joined,
     "p2_pair_records": p2_pair_records,
     "p3_found": p3_found,
     "p3_entities": p3_entities,
@@ -156,4 +174,4 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_groups": p6_groups,
 }
-SQL = {"p2_pair_records": P2_SQL} | P4_SQL | P5_SQL
+SQL = {"p2_found": f"SELECT subject_id FROM ({_RANK}) WHERE place <= 12", "p2_ranking": _RANK, "p2_ranking_joined": _RANK, "p2_pair_records": P2_SQL} | P4_SQL | P5_SQL

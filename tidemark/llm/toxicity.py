@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CLASSES = ("abuse", "hate", "sexual")
-#: At most so many labelled documents train the models (those with the smallest hash of their id).
-MAX_LABELLED = 20_000
+#: At most so many labelled documents with so many characters together train the models, in order of the hash of
+#: their id; this bounds what the driver gets.
+MAX_LABELLED, MAX_CHARACTERS = 20_000, 80_000_000
 #: Absolute discount, rounds of weak supervision, and parts of the labelled documents for held-out scores in training.
-DISCOUNT, ROUNDS, FOLDS = 0.75, 3, 2
-#: Weight of the shared continuation counts below the class's own words. It is the same for all classes, so a word
-#: that is new to both says nothing.
-SHARED = 0.3
+DISCOUNT, ROUNDS, FOLDS = 0.75, 3, 4
+#: Documents with a verdict that a word must stand in to say anything, and the weight of a passage's documents with
+#: and without a verdict: log odds of a verdict given a toxic passage (0.9) and none (0.2), and of no verdict.
+SUPPORT, FOR, AGAINST = 2, math.log(0.9 / 0.2), math.log(0.8 / 0.1)
 #: Frequent words that are always kept apart, and the word that stands for all that say nothing.
 FREQUENT, OTHER = 250, "<o>"
 #: A passage of at least so many words counts if its log-likelihood ratio reaches a total and a value per word.
@@ -109,26 +113,30 @@ class Reader:
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney trigrams of one class over lower-order counts shared by all classes."""
+    """Interpolated Kneser-Ney trigrams of one class: below the trigrams a word counts by the number of different
+    contexts it continues in the class, and below that by the contexts it continues in all classes together."""
 
     def __init__(self, passages: Iterable[tuple[list[str], float]], shared: SharedBackoff):
         self.shared = shared
         self.tri: dict[tuple, float] = defaultdict(float)
-        self.bi: dict[tuple, float] = defaultdict(float)
-        self.uni: dict[str, float] = defaultdict(float)
         for words, weight in passages:
             u = v = "<s>"
             for w in [*words, "</s>"]:
                 self.tri[u, v, w] += weight
-                self.bi[v, w] += weight
-                self.uni[w] += weight
                 u, v = v, w
+        self.bi: dict[tuple, float] = defaultdict(float)
+        for _, v, w in self.tri:
+            self.bi[v, w] += 1.0
+        self.uni: dict[tuple, float] = defaultdict(float)
+        for _, w in self.bi:
+            self.uni[w,] += 1.0
         self.c3, self.t3 = self._totals(self.tri)
         self.c2, self.t2 = self._totals(self.bi)
-        self.total = sum(self.uni.values())
+        self.c1, self.t1 = self._totals(self.uni)
 
     @staticmethod
     def _totals(table: dict) -> tuple[dict, dict]:
+        """Sum of the counts of each context, and the mass its discounts leave, in units of the discount."""
         total: dict = defaultdict(float)
         types: dict = defaultdict(float)
         for k, c in table.items():
@@ -136,13 +144,15 @@ class KneserNey:
             types[k[:-1]] += min(1.0, c / DISCOUNT)
         return total, types
 
+    @staticmethod
+    def _level(table: dict, total: dict, types: dict, context: tuple, w: str, lower: float) -> float:
+        c = total.get(context, 0.0)
+        return (max(table.get((*context, w), 0.0) - DISCOUNT, 0.0) + DISCOUNT * types[context] * lower) / c if c else lower
+
     def p(self, u: str, v: str, w: str) -> float:
-        base = self.shared.p(w)
-        p1 = SHARED * base + (1 - SHARED) * self.uni.get(w, 0.0) / self.total if self.total else base
-        c2 = self.c2.get((v,), 0.0)
-        p2 = (max(self.bi.get((v, w), 0.0) - DISCOUNT, 0.0) + DISCOUNT * self.t2[v,] * p1) / c2 if c2 else p1
-        c3 = self.c3.get((u, v), 0.0)
-        return (max(self.tri.get((u, v, w), 0.0) - DISCOUNT, 0.0) + DISCOUNT * self.t3[u, v] * p2) / c3 if c3 else p2
+        p1 = self._level(self.uni, self.c1, self.t1, (), w, self.shared.p(w))
+        p2 = self._level(self.bi, self.c2, self.t2, (v,), w, p1)
+        return self._level(self.tri, self.c3, self.t3, (u, v), w, p2)
 
 
 class SharedBackoff:
@@ -154,7 +164,8 @@ class SharedBackoff:
         self.total, self.kinds = len(pairs), len(self.n) + 1
 
     def p(self, w: str) -> float:
-        return (max(self.n.get(w, 0) - DISCOUNT, 0.0) + DISCOUNT * self.kinds / (self.kinds + 1.0)) / (self.total + 1.0) if w in self.n else DISCOUNT / (self.total + 1.0) / 2
+        """Discounted share of the pairs; what the discounts leave is shared by all known words and one unknown."""
+        return (max(self.n.get(w, 0) - DISCOUNT, 0.0) + DISCOUNT * len(self.n) / self.kinds) / self.total if self.total else 1.0
 
 
 class Ratio:
@@ -171,7 +182,7 @@ class Ratio:
                 r = math.log(outer.toxic.p(*k) / outer.ordinary.p(*k))
                 _, v, w = k
                 t = outer.toxic
-                if r > 0 and (w not in t.uni or w == "</s>" and (v, w) not in t.bi):
+                if r > 0 and ((w,) not in t.uni or w == "</s>" and (v, w) not in t.bi):
                     r = 0.0  # what the class has never shown is no evidence for it
                 self[k] = r
                 return r
@@ -205,7 +216,7 @@ class Model:
         neg = Counter(w for ps, x in zip(read, share) if x < 0.5 for w in {w for p in ps for w in p})
         n_pos, n_neg = sum(x >= 0.5 for x in share) + 1, sum(x < 0.5 for x in share) + 1
         frequent = [w for w, _ in sorted((pos + neg).items(), key=lambda k: (-k[1], k[0]))[:FREQUENT]]
-        telling = [w for w in pos if (pos[w] - 0.5) / n_pos >= 1.3 * (neg[w] + 0.5) / n_neg]
+        telling = [w for w in pos if pos[w] >= SUPPORT and (pos[w] - 0.5) / n_pos >= 1.3 * (neg[w] + 0.5) / n_neg]
         self.words = {w: w for w in [*frequent, *telling]}
         # Equal passages are counted once, by fold of the document: [weight with verdict, number without, by class].
         table: list[dict[tuple, list]] = [defaultdict(lambda: [0.0, 0, Counter()]) for _ in range(FOLDS)]
@@ -220,19 +231,30 @@ class Model:
                 else:
                     row[1] += 1
         self.shared = SharedBackoff({p for t in table for p in t})
+        seen: dict[tuple, list] = defaultdict(lambda: [0.0, 0])
+        for t in table:
+            for p, (with_verdict, without, _) in t.items():
+                seen[p][0] += with_verdict
+                seen[p][1] += without
         # Weak supervision: a verdict holds for a document, not for a passage. At first all passages of a document
         # with a verdict are toxic; then those that models of the other folds tell from ordinary ones. What looks
-        # toxic without a verdict is left out of both sides, as is the rest of a document with one.
+        # toxic without a verdict is left out of both sides, as is the rest of a document with one. A passage that
+        # reviewers passed more often than not is not toxic, whatever it looks like.
         toxic = [set(t) for t in table]
         ordinary = [set(t) for t in table]
         for _ in range(ROUNDS):
             found = []
             for f, t in enumerate(table):
                 ratio = self._fit(table, toxic, ordinary, [g for g in range(FOLDS) if g != f])
-                found.append({p for p in t if len(p) >= LEAST_WORDS and (x := ratio.total(p)) >= TRAIN_TOTAL and x >= TRAIN_PER_WORD * len(p)})
+                found.append({p for p in t if len(p) >= LEAST_WORDS and (x := ratio.total(p)) >= TRAIN_TOTAL and x >= TRAIN_PER_WORD * len(p) and seen[p][0] * FOR >= seen[p][1] * AGAINST})
             toxic, ordinary = found, [set(t) - x for t, x in zip(table, found)]
         # Only the words of toxic passages can speak for the class; all others become one word.
-        self.words = {w: w for f in range(FOLDS) for p in toxic[f] if table[f][p][0] for w in p if w != OTHER}
+        support = Counter()
+        for f in range(FOLDS):
+            for p in toxic[f]:
+                for w in set(p):
+                    support[w] += table[f][p][0]
+        self.words = {w: w for w, n in support.items() if n >= SUPPORT - 0.5 and w != OTHER}
         yes, no, by_class = Counter(), Counter(), {c: Counter() for c in CLASSES}
         for f, t in enumerate(table):
             for p, (with_verdict, without, classes) in t.items():
@@ -281,13 +303,18 @@ class Model:
         return best, n, classes
 
 
-def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, verdict: str, max_labelled: int = MAX_LABELLED) -> Model:
-    """Model from at most ``max_labelled`` labelled documents (bounded sample by hash of the id); null verdicts are none."""
+def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, verdict: str, max_labelled: int = MAX_LABELLED, max_characters: int = MAX_CHARACTERS) -> Model:
+    """Model from at most ``max_labelled`` labelled documents (bounded sample by hash of the id); null verdicts are none.
+
+    Texts are taken whole while their sum is within ``max_characters``.
+    """
     v = labels.where(F.col(verdict).isNotNull() & F.col(label_doc).isNotNull()).groupBy(F.col(label_doc).alias("doc")).agg(F.sort_array(F.collect_list(F.lower(F.trim(F.col(verdict))))).alias("v"))
-    v = v.orderBy(F.xxhash64("doc"), "doc").limit(max_labelled)
+    v = v.orderBy(F.xxhash64("doc"), "doc").limit(max_labelled)  # bounded, so it may be broadcast
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    rows = d.join(F.broadcast(v), "doc").groupBy("doc").agg(F.min("text").alias("text"), F.min("v").alias("v")).orderBy("doc").collect()
-    return Model([(r["text"], list(r["v"])) for r in rows])
+    d = d.join(F.broadcast(v), "doc").groupBy("doc").agg(F.min("text").alias("text"), F.min("v").alias("v"))
+    order = Window.orderBy(F.xxhash64("doc"), "doc")  # over the bounded sample
+    d = d.withColumn("sum", F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(order)).where(F.col("sum") <= max_characters)
+    return Model([(r["text"], list(r["v"])) for r in d.orderBy("doc").select("text", "v").collect()])
 
 
 def scores(docs: DataFrame, doc: str, text: str, source: str, model: Model) -> DataFrame:
@@ -297,11 +324,11 @@ def scores(docs: DataFrame, doc: str, text: str, source: str, model: Model) -> D
     at least three words; null if there is none, as in empty and null texts. flagged: at least one toxic passage.
     The model is as large as the labelled sample and goes to the workers as a broadcast variable.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # by value: workers need no copy of the package
     types = dict(docs.dtypes)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, remember = shared.value, {}
+        m, remember = pickle.loads(shared.value), {}
         for p in pdfs:
             out = [m.score(t, remember) for t in p["text"]]
             yield pd.DataFrame(
