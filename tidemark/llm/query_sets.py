@@ -110,22 +110,19 @@ FROM d LEFT JOIN u ON d.deck_key = u.k GROUP BY deck_key""",
 
 
 # --- 5: items together ---
-def _main_rows(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "deck_cards").where(label_key(F.col("board")) == "main")
-    raw = d.select("tournament_id", "deck_idx", "name").where("name is not null").distinct()
-    return raw.select("tournament_id", "deck_idx", name_key(F.col("name")).alias("name"))
+def _together(spark: SparkSession, sf: str) -> DataFrame:
+    main = table(spark, sf, "deck_cards").where(label_key(F.col("board")) == "main")
+    return cooccurring(main, ["tournament_id", "deck_idx"], "name", normalise=name_key)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """(name_a, name_b): names that meet in main boards far more often than chance."""
-    r = cooccurring(_main_rows(spark, sf), ["tournament_id", "deck_idx"], "name")
-    return r.select(F.col("item_a").alias("name_a"), F.col("item_b").alias("name_b"))
+    return _together(spark, sf).select(F.col("item_a").alias("name_a"), F.col("item_b").alias("name_b"))
 
 
 def p5_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs with their counts, lift and pointwise mutual information."""
-    r = cooccurring(_main_rows(spark, sf), ["tournament_id", "deck_idx"], "name")
-    return r.select(F.col("item_a").alias("name_a"), F.col("item_b").alias("name_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
+    return _together(spark, sf).select(F.col("item_a").alias("name_a"), F.col("item_b").alias("name_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
 _P5 = f"""
