@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import ref_advice, ref_cards, ref_matches
+from tidemark.plans import ref_advice, ref_cards, ref_labels, ref_matches
 
-QUERIES = ref_matches.QUERIES | ref_cards.QUERIES | ref_advice.QUERIES
-SQL = ref_matches.SQL | ref_cards.SQL | ref_advice.SQL
+_PARTS = (ref_matches, ref_cards, ref_advice, ref_labels)
+QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PARTS for k, s in p.SQL.items()}
