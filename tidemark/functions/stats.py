@@ -103,7 +103,8 @@ def fisher(a: int, b: int, c: int, d: int) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def fisher_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([fisher(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)])
+    known = {k: fisher(*map(int, k)) for k in set(zip(a, b, c, d))}
+    return pd.Series([known[k] for k in zip(a, b, c, d)])
 
 
 def chi2_sf(x: float, k: float) -> float:
@@ -133,6 +134,11 @@ def chi2_sf(x: float, k: float) -> float:
     return front * h
 
 
+@F.pandas_udf(T.DoubleType())
+def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else chi2_sf(float(a), float(b)) for a, b in zip(x, k)])
+
+
 def optimal_partition(cost, n: int, penalty: float, least: int) -> list[int]:
     """Change points of the exact penalised segmentation; cost(i, j) is that of points i..j-1."""
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)

@@ -87,7 +87,7 @@ def camp_cells(resolved: DataFrame) -> DataFrame:
 def pool(cells: DataFrame, cluster: Column) -> DataFrame:
     """DerSimonian-Laird pooling of the cells of each (a, cluster of b), with heterogeneity and concentration.
 
-    Members without games are left out. mu is the pooled logit, p_pooled its rate; tau2, q, i2 (null with one member)
+    Members without games are left out. mu is the pooled logit, variance its variance, p_pooled its rate; tau2, q, i2 (null with one member)
     describe the spread; hhi, m_eff and top_share the concentration of games.
     """
     c = cells.where("n > 0").select("a", cluster.alias("cluster"), F.col("wins").cast("double").alias("w"), F.col("n").cast("double").alias("n")).where("cluster is not null")
@@ -105,5 +105,5 @@ def pool(cells: DataFrame, cluster: Column) -> DataFrame:
     n_eff = F.least(F.col("games"), F.col("su") / (F.col("p_pooled") * (1 - F.col("p_pooled"))))
     return g.select(
         "a", "cluster", F.col("k").alias("members"), F.col("games").cast("long").alias("games"), "q", "tau2", F.when(F.col("k") > 1, F.when(F.col("q") > 0, F.greatest(F.lit(0.0), (F.col("q") - (F.col("k") - 1)) / F.col("q"))).otherwise(0.0)).alias("i2"),
-        "p_pooled", n_eff.alias("n_eff"), (F.col("nn") / (F.col("games") * F.col("games"))).alias("hhi"), (F.col("top") / F.col("games")).alias("top_share"),
+        "p_pooled", "mu", (1 / F.col("su")).alias("variance"), n_eff.alias("n_eff"), (F.col("nn") / (F.col("games") * F.col("games"))).alias("hhi"), (F.col("top") / F.col("games")).alias("top_share"),
     )

@@ -158,7 +158,7 @@ def multi_split_matrix(spark, sf):
 
 def dersimonian_laird(spark, sf):
     """Each label against the clusters of opponents that share the last word of their name."""
-    return _r6(X.pool(M.tallies(_resolved(spark, sf)[1]), F.element_at(F.split("b", " "), -1)), "q", "tau2", "i2", "p_pooled", "n_eff", "hhi", "top_share")
+    return _r6(X.pool(M.tallies(_resolved(spark, sf)[1]), F.element_at(F.split("b", " "), -1)).drop("mu", "variance"), "q", "tau2", "i2", "p_pooled", "n_eff", "hhi", "top_share")
 
 
 def card_winrate_cells(spark, sf):
