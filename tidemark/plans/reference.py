@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import ref_advice, ref_cards, ref_eras, ref_families, ref_labels, ref_matches, ref_multi, ref_pooling
+from tidemark.plans import ref_advice, ref_cards, ref_eras, ref_families, ref_labels, ref_matches, ref_multi, ref_pooling, ref_ranking
 
-_PARTS = (ref_matches, ref_cards, ref_advice, ref_labels, ref_pooling, ref_families, ref_eras, ref_multi)
+_PARTS = (ref_matches, ref_cards, ref_advice, ref_labels, ref_pooling, ref_families, ref_eras, ref_multi, ref_ranking)
 QUERIES = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 SQL = {k: s for p in _PARTS for k, s in p.SQL.items()}
