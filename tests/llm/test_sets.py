@@ -254,3 +254,54 @@ def test_open_handles_join_large_blocks(spark):
     data = [(i, f"robert {n}", None) for i, n in enumerate(names)] + [(1000 + i, n[:1] + n[2:], None) for i, n in enumerate(names)]
     e = {r["id"]: r["entity"] for r in aliases.link_aliases(spark.createDataFrame(data, "id int, h string, p string"), "id", "h", "p").collect()}
     assert sum(e[i] == e[1000 + i] for i in range(100)) >= 98
+
+
+def _invented(people, seed):
+    """Handles of people whose given names and nicknames stand in no list, with typing errors; and who each is."""
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(n))
+    stock = {}
+    while len(stock) < 24:
+        f = word(3) + rnd.choice("nrsl")
+        stock[f] = [f[:4], word(2) + rnd.choice("kly"), f[2:]][: rnd.randrange(1, 4)]
+    family = [word(4) + rnd.choice(["kord", "rind", "lim", "nok"]) for _ in range(people)]
+    rows = {}
+    for p in range(people):
+        s, g = family[p] if rnd.random() > 0.15 else rnd.choice(family), rnd.choice(list(stock))
+        for _ in range(rnd.randrange(2, 8)):
+            x, y, k, i = g if rnd.random() < 0.6 else rnd.choice(stock[g]), s, rnd.random(), rnd.randrange(1, 10)
+            if rnd.random() < 0.15:
+                y = rnd.choice([s[:i] + s[i + 1 :], s[:i] + s[i + 1 : i + 2] + s[i] + s[i + 2 :], s[:i] + rnd.choice("aeiou") + s[i:]])
+            h = f"{x} {y}" if k < 0.5 else f"{y}, {x}" if k < 0.65 else f"{g[0]}. {y}" if k < 0.75 else f"{x}{y}" if k < 0.82 else f"{x}_{y}" if k < 0.9 else f"{y} {x}"
+            rows.setdefault(h, (g, s))
+    return list(rows), list(rows.values())
+
+
+def _pairs(label):
+    by = defaultdict(list)
+    for i, x in label.items():
+        by[x].append(i)
+    return {p for v in by.values() for p in combinations(sorted(v), 2)}
+
+
+def test_names_outside_any_list_are_learned(spark):
+    handles, who = _invented(1500, 5)
+    df = spark.createDataFrame(list(enumerate(handles)), "id int, h string").selectExpr("id", "h", "cast(null as string) as p")
+    e = {r["id"]: r["entity"] for r in aliases.link_aliases(df, "id", "h", "p", known=aliases.Stock({})).collect()}
+    want, got = _pairs(dict(enumerate(who))), _pairs(e)
+    assert len(want & got) >= 0.95 * len(want) and len(want & got) >= 0.97 * len(got)
+
+
+def test_result_does_not_depend_on_the_block_size(spark, monkeypatch):
+    handles, _ = _invented(120, 6)
+    df = spark.createDataFrame(list(enumerate(handles)), "id int, h string").selectExpr("id", "h", "cast(null as string) as p")
+    whole = rows(aliases.link_aliases(df, "id", "h", "p"), "id", "entity")
+    monkeypatch.setattr(aliases, "BLOCK", 3)
+    assert rows(aliases.link_aliases(df, "id", "h", "p"), "id", "entity") == whole
+
+
+def test_no_record_table_is_broadcast(spark):
+    """The sides of the segment join and of the verification are exploded or whole records, whatever Spark estimates."""
+    data = [(i, [f"c{(i * k) % 97}" for k in range(1, 25)], None, None) for i in range(3000)]
+    df = setjoin.similar_pairs(deck_sets(spark, data))
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
