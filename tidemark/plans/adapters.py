@@ -8,14 +8,37 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import label_key, name_key, time_text
 from tidemark.operators.skew import latest_state
 from tidemark.plans.sql import sql_label, sql_name, sql_time
-from tidemark.session import table
+from tidemark.session import durable, exists, stored, table
 
 RESULTS = ("2-0", "2-1", "1-2", "0-2", "1-1", "2-1", "W-L")
 #: Dates that cut the corpus into regimes, as (date, card) of announcements.
 BANS = (("2023-03-01", "anvilcrown ravager"), ("2024-06-10", "marrowhorn conduit"), ("2025-05-20", "bramblehook basin"))
 
 
+#: Silver tables of this process, by application, folder and name.
+_SILVER: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+
+
+def _silver(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A cleaned table, built once for all queries of a session over one folder and stored with its keys normalised.
+
+    The given tables do not change while a session reads them.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SILVER or not exists(spark, _SILVER[key][1]):
+        _SILVER[key] = stored(build(spark, sf))
+    return _SILVER[key][0]
+
+
 def decks(spark: SparkSession, sf: str) -> DataFrame:
+    return _silver(spark, sf, "decks", _decks)
+
+
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    return _silver(spark, sf, "cards", _cards)
+
+
+def _decks(spark: SparkSession, sf: str) -> DataFrame:
     """tournament_id, deck_idx, deck_key, archetype, norm, variant, date, provenance: one row per deck of a known event."""
     t = table(spark, sf, "tournaments").groupBy(F.col("id").alias("tournament_id")).agg(F.min(time_text(F.col("date"))).cast("date").alias("date"), F.min("provenance").alias("provenance"))
     d = table(spark, sf, "archetype_decks").groupBy("tournament_id", "deck_idx").agg(
@@ -27,11 +50,14 @@ def decks(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("tournament_id", "deck_idx", "deck_key", "archetype", "norm", F.when(F.col("parent") == F.col("archetype"), F.col("camp")).alias("variant"), "date", "provenance")
 
 
-def cards(spark: SparkSession, sf: str) -> DataFrame:
-    """tournament_id, deck_idx, board, name (key), copies: rows of a card on one board are summed, blank counts are 1."""
-    c = table(spark, sf, "deck_cards").where("name is not null").dropDuplicates()
-    c = c.groupBy("tournament_id", "deck_idx", label_key(F.col("board")).alias("board"), "name").agg(F.sum(F.coalesce("count", F.lit(1))).alias("copies"))
-    c = c.select("tournament_id", "deck_idx", "board", name_key(F.col("name")).alias("name"), "copies").where("name <> ''")
+def _cards(spark: SparkSession, sf: str) -> DataFrame:
+    """tournament_id, deck_idx, board, name (key), copies: rows of a card on one board are summed, blank counts are 1.
+
+    Names are normalised once per spelling.
+    """
+    raw = table(spark, sf, "deck_cards").where("name is not null")
+    spelt = durable(raw.select("name").distinct().select(F.col("name").alias("raw"), name_key(F.col("name")).alias("name")).where("name <> ''"))
+    c = raw.dropDuplicates().withColumnRenamed("name", "raw").join(spelt, "raw").select("tournament_id", "deck_idx", label_key(F.col("board")).alias("board"), "name", F.coalesce("count", F.lit(1)).alias("copies"))
     return c.groupBy("tournament_id", "deck_idx", "board", "name").agg(F.sum("copies").cast("int").alias("copies"))
 
 

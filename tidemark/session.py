@@ -37,19 +37,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, which knows remote stores as well as local folders."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop_path(spark, path)
+    return fs.exists(at)
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a table in the shared checkpoint folder, and the path of that. It is removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, at = hadoop_path(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared checkpoint folder; survives the loss of executors.
 
     What comes back has the size of its files as its statistics, so joins behind it are planned by what is there and
-    not by an estimate of the plan before it. The table is removed when the driver ends.
+    not by an estimate of the plan before it.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df)[0]
 
 
 def shuffled(df: DataFrame) -> DataFrame:

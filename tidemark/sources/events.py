@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import durable, exists
+
 _CARD = "array<struct<Count:int,CardName:string>>"
 SCHEMA = (
     "Tournament struct<Name:string,Date:string,Uri:string,Formats:string>,"
@@ -50,7 +52,7 @@ def silver(events: DataFrame) -> dict[str, DataFrame]:
     cards = board("main", "Mainboard").union(board("side", "Sideboard"))
     flat = F.flatten(F.transform("Rounds", lambda r: F.when(r["Matches"].isNotNull(), r["Matches"]).otherwise(F.array(F.struct(r["Player1"].alias("Player1"), r["Player2"].alias("Player2"), r["Result"].alias("Result"))))))
     return {
-        "tournaments": e.select(F.col("tournament_id").alias("id"), text(F.col("Tournament.Name")).alias("name"), F.col("Tournament.Date").alias("date"), F.col("Tournament.Uri").alias("uri"), F.col("Tournament.Formats").alias("format"), "source", "provenance"),
+        "tournaments": e.select(F.col("tournament_id").alias("id"), text(F.col("Tournament.Name")).alias("name"), F.col("Tournament.Date").alias("date"), F.col("Tournament.Uri").alias("uri"), one_format(F.col("Tournament.Formats")).alias("format"), "source", "provenance"),
         "decks": decks.select("tournament_id", "deck_idx", text(F.col("d.Player")).alias("player"), text(F.col("d.Result")).alias("result")),
         "deck_cards": cards.select("tournament_id", "deck_idx", "board", F.col("x.CardName").alias("name"), F.coalesce("x.Count", F.lit(1)).alias("count")),
         "rounds": e.select("tournament_id", F.posexplode(flat).alias("match_idx", "m")).select("tournament_id", "match_idx", text(F.col("m.Player1")).alias("player1"), text(F.col("m.Player2")).alias("player2"), text(F.col("m.Result")).alias("result")),
@@ -63,30 +65,51 @@ def silver(events: DataFrame) -> dict[str, DataFrame]:
 def ingest(spark: SparkSession, path: str, warehouse: str, full: bool = False) -> dict[str, int]:
     """Read new and changed files into the warehouse and note them in the ledger; returns numbers by status.
 
-    The rows of a changed event replace the earlier ones: tables carry a batch number and readers take, per event, the
-    latest (see read_silver). A file that cannot be parsed is counted bad and never stops the batch.
+    The files are parsed once. Tables carry the id of the run and are appended before the ledger, which is written last
+    and in one piece: rows of a run that is not in the ledger are never read, so a run that fails in between leaves nothing
+    behind that counts. The rows of a changed event replace the earlier ones (see read_silver). A file that cannot be
+    parsed is noted as bad, is tried again each time, and never stops the run. Paths may be
+    on any store that Spark can reach.
     """
-    ledger_path = os.path.join(warehouse, "ledger")
-    known = spark.read.parquet(ledger_path) if os.path.exists(ledger_path.removeprefix("file:")) else None
+    ledger_path = f"{warehouse}/ledger"
+    known = spark.read.parquet(ledger_path) if exists(spark, ledger_path) else None
     ev = read_events(spark, path)
     bad = (F.col("_corrupt_record").isNotNull()) | F.col("Tournament").isNull()
     if known is not None and not full:
-        latest = known.groupBy("path").agg(F.max_by("content_hash", "batch").alias("old"))
-        ev = ev.join(latest, "path", "left").withColumn("status", F.when(bad, "bad").when(F.col("old").isNull(), "new").when(F.col("old") == F.col("content_hash"), "unchanged").otherwise("changed"))
+        latest = known.where("status <> 'bad'").groupBy("path").agg(F.max_by("content_hash", "batch").alias("old"))
+        status = F.when(bad, "bad").when(F.col("old").isNull(), "new").when(F.col("old") == F.col("content_hash"), "unchanged").otherwise("changed")
+        ev = ev.join(latest, "path", "left").withColumn("status", status)
     else:
         ev = ev.withColumn("status", F.when(bad, "bad").otherwise("new"))
+    ev = durable(ev)
     counts = {r["status"]: r["count"] for r in ev.groupBy("status").count().collect()}
     batch = 1 + ((known.agg(F.max("batch")).first()[0] or 0) if known is not None else 0)
+    run = uuid.uuid4().hex
     fresh = ev.where("status in ('new', 'changed')")
     for name, df in silver(fresh).items():
-        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(os.path.join(warehouse, name))
-    fresh.select("path", "content_hash", "tournament_id", F.lit(batch).alias("batch")).write.mode("append").parquet(ledger_path)
+        df.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{warehouse}/{name}")
+    noted = ev.where("status <> 'unchanged'").select("path", "content_hash", "status", F.when(F.col("status") != "bad", F.col("tournament_id")).alias("tournament_id"), F.lit(batch).alias("batch"), F.lit(run).alias("run"))
+    noted.coalesce(1).write.mode("append").parquet(ledger_path)
     return counts
 
 
 def read_silver(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
-    """A silver table with, of each event, only the rows of its latest batch."""
-    df = spark.read.parquet(os.path.join(warehouse, name))
+    """A silver table with, of each event, only the rows of the last run in the ledger that read it."""
+    df = spark.read.parquet(f"{warehouse}/{name}")
     key = "id" if name == "tournaments" else "tournament_id"
-    last = spark.read.parquet(os.path.join(warehouse, "ledger")).groupBy(F.col("tournament_id").alias(key)).agg(F.max("batch").alias("batch"))
-    return df.join(last, [key, "batch"]).drop("batch")
+    done = spark.read.parquet(f"{warehouse}/ledger").where("tournament_id is not null")
+    last = done.groupBy(F.col("tournament_id").alias(key)).agg(F.max_by("run", "batch").alias("run"))
+    return df.join(last, [key, "run"]).drop("run")
+
+
+def same_rows(stored_rows: DataFrame, parsed: DataFrame) -> bool:
+    """Whether two tables hold the same rows, repetitions counted; used to seed a ledger over rows loaded before."""
+    cols = sorted(parsed.columns)
+    a, b = stored_rows.select(*cols), parsed.select(*cols)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def one_format(value: Column) -> Column:
+    """Format of an event from a plain string or a JSON list: Legacy if the list names it, else its first item."""
+    items = F.from_json(value, "array<string>")
+    return F.when(value.rlike(r"^\s*\["), F.when(F.array_contains(items, "Legacy"), "Legacy").otherwise(F.get(items, F.lit(0)))).otherwise(value)
