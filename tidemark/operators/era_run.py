@@ -18,7 +18,7 @@ from tidemark.operators.eras import KERNEL_LEAST, KERNEL_PENALTY, SHARE_LEAST, S
 
 # Fixed values of the run.
 FLEX_LOW, FLEX_HIGH, COMPOSITION_DECKS, PERMUTATIONS = 0.10, 0.95, 10, 199
-LEAST_BUCKETS, MERGE_BUCKETS, LEAST_AFTER = 4, 2, 30
+LEAST_BUCKETS, MERGE_BUCKETS, LEAST_AFTER = 8, 2, 30
 WIN_MATCHES, WIN_SHIFT = 30, 0.05
 PLAUSIBLE, TOLERANCE_DAYS, FIELD_SHARE, FIELD_DECKS = 0.25, 14, 0.02, 500
 
@@ -109,7 +109,7 @@ def composition_candidates(series: DataFrame, flex: DataFrame, seed: int = 0) ->
         p = p.sort_values("start").reset_index(drop=True)
         held = [json.loads(h) if h else {} for h in p["held"]]
         names, rows = sorted({n for h in held for n in h}), []
-        if len(p) >= 2 * KERNEL_LEAST and names:
+        if len(p) >= max(LEAST_BUCKETS, 2 * KERNEL_LEAST) and names:
             v = np.array([[h.get(n, 0) / d for n in names] for h, d in zip(held, p["decks"])])
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
