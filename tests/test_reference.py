@@ -162,7 +162,7 @@ def test_sideboard_model_is_whole(spark):
     assert sum(r["copies"] for r in board) == 8 and all(r["proven"] for r in board)
 
 
-@pytest.mark.parametrize("name", ["tfidf_l2_parents", "camp_centroid_parents", "nearest_camp_parents", "pmi_adjacency_parents"])
+@pytest.mark.parametrize("name", ["tfidf_l2", "camp_centroid", "pmi_adjacency", "deck_vs_field", "subgroup_split", "biggest_movers", "top_finishers", "topcut_share"])
 def test_all_parents_match_sql(spark, name):
     assert compare(spark, SMALL, name).startswith("ok")
     assert entry.queries()[name](spark, SMALL).select("archetype").distinct().count() > 1

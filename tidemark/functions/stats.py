@@ -154,18 +154,25 @@ def optimal_partition(cost, n: int, penalty: float, least: int) -> list[int]:
     return sorted(out)
 
 
+def _lbeta(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b) for a, b in zip(x, y)])
+
+
 def bocpd_step(state: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, n: int, hazard: float = 1 / 25, a: float = 1.0, b: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the run length (probabilities, alphas, betas) after one more beta-binomial observation."""
-    lbeta = np.vectorize(lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y))
+    """Posterior of the run length (probabilities, alphas, betas) after one more beta-binomial observation.
+
+    Weights are kept as logarithms until they are scaled by the largest, so an observation that no run explains leaves
+    the most likely ones and never a division by zero. Lengths under 1e-9, but for the two shortest, are dropped.
+    """
     run, al, be = state
-    comb = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    like = np.exp(comb + lbeta(al + k, be + n - k) - lbeta(al, be))
-    grown = run * like * (1 - hazard)
-    run = np.concatenate([[(run * like * hazard).sum()], grown])
-    run /= run.sum()
-    al, be = np.concatenate([[a], al + k]), np.concatenate([[b], be + n - k])
-    keep = (run > 1e-9) | (np.arange(len(run)) < 2)
-    return run[keep], al[keep], be[keep]
+    with np.errstate(divide="ignore"):
+        w = np.log(run) + _lbeta(al + k, be + n - k) - _lbeta(al, be)
+    w = np.exp(w - w.max())
+    post = np.append(hazard * w.sum(), (1 - hazard) * w)
+    post /= post.sum()
+    al, be = np.append(a, al + k), np.append(b, be + n - k)
+    keep = (post > 1e-9) | (np.arange(len(post)) < 2)
+    return post[keep], al[keep], be[keep]
 
 
 def bocpd(successes: np.ndarray, trials: np.ndarray, hazard: float = 1 / 25, a: float = 1.0, b: float = 1.0) -> np.ndarray:

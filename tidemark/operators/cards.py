@@ -34,34 +34,36 @@ def consensus(freq: DataFrame, target: int, *by: str) -> DataFrame:
     return freq.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("modal"), F.lit(target) - before)).cast("int")).where("copies > 0")
 
 
-def deck_vs_field(deck: DataFrame, freq: DataFrame, hist: DataFrame) -> DataFrame:
-    """A list (name, own) against its pool: difference to the mode, share of the pool with as many copies, outlier
-    if under 0.2 and not the mode."""
-    share = hist.join(freq.select("name", "pool").distinct(), "name").select("name", F.col("copies").alias("own"), (F.col("decks") / F.col("pool")).alias("share"))
-    j = freq.select("name", "modal", "inclusion").join(deck, "name", "full").select("name", F.coalesce("modal", F.lit(0)).alias("modal"), F.coalesce("own", F.lit(0)).alias("own"))
-    j = j.join(share, ["name", "own"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    return j.select("name", "own", "modal", (F.col("own") - F.col("modal")).alias("delta"), "share", ((F.col("share") < 0.2) & (F.col("own") != F.col("modal"))).alias("outlier"))
-
-
-def subgroup(pool: DataFrame, cards: DataFrame, signature: str, board: str = "main") -> DataFrame:
-    """Mean copies of each card in the decks with and without a signature card; the group's decks are the denominator."""
-    with_ = cards.where((F.col("name") == signature) & (F.col("board") == board)).select(*_DECK).distinct().withColumn("has", F.lit(1))
-    p = pool.select(*_DECK).distinct().join(with_, _DECK, "left").select(*_DECK, F.coalesce("has", F.lit(0)).alias("has"))
-    n = p.agg(F.sum("has").alias("n1"), F.sum(1 - F.col("has")).alias("n0"))
-    c = cards.where(F.col("board") == board).join(p, _DECK).groupBy("name").agg(F.sum(F.when(F.col("has") == 1, F.col("copies"))).alias("c1"), F.sum(F.when(F.col("has") == 0, F.col("copies"))).alias("c0"))
-    avg = lambda c, n: F.coalesce(F.col(c) / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
-    return c.join(F.broadcast(n)).select("name", avg("c1", "n1").alias("with_avg"), avg("c0", "n0").alias("without_avg")).withColumn("delta", F.col("with_avg") - F.col("without_avg"))
-
-
-def adjacency(decks: DataFrame, cards: DataFrame, core: DataFrame, k: int, least: int = 5) -> DataFrame:
-    """Pointwise mutual information of a card with holding at least ``k`` core cards, over all decks."""
-    held = cards.select(*_DECK, "name").distinct()
-    n = decks.select(*_DECK).distinct().agg(F.count(F.lit(1)).alias("n"))
-    shell = held.join(F.broadcast(core), "name", "left_semi").groupBy(*_DECK).agg(F.count(F.lit(1)).alias("h")).where(F.col("h") >= k).select(*_DECK, F.lit(1).alias("in_shell"))
-    ns = shell.agg(F.count(F.lit(1)).alias("ns"))
-    x = held.join(F.broadcast(core), "name", "left_anti").join(shell, _DECK, "left").groupBy("name").agg(F.count(F.lit(1)).alias("n_x"), F.count("in_shell").alias("n_xs")).where(F.col("n_xs") >= least)
-    x = x.join(F.broadcast(n)).join(F.broadcast(ns))
-    return x.select("name", "n_x", "n_xs", F.log(F.col("n_xs").cast("double") * F.col("n") / (F.col("n_x").cast("double") * F.col("ns"))).alias("pmi"))
+def decks_vs_field(decks: DataFrame, cards: DataFrame, freq: DataFrame, hist: DataFrame, key: str, by: str) -> DataFrame:
+    """(key, name, own, modal, delta, share, outlier): each list of ``decks`` (key, by, deck) against its pool: difference to
+    the mode, share of the pool with as many copies, outlier if under 0.2 and not the mode. Cards of the pool that a list
+    lacks count 0 copies."""
+    mine = cards.join(decks, _DECK).select(key, by, "name", F.col("copies").alias("own"))
+    pool = decks.select(key, by).join(freq.select(by, "name", "modal"), by)
+    size = freq.groupBy(by).agg(F.max("pool").alias("pool"))
+    j = pool.join(mine, [key, by, "name"], "full").select(key, by, "name", F.coalesce("modal", F.lit(0)).alias("modal"), F.coalesce("own", F.lit(0)).alias("own"))
+    j = j.join(hist.select(by, "name", F.col("copies").alias("own"), F.col("decks").alias("k")), [by, "name", "own"], "left").join(size, by)
+    j = j.withColumn("share", F.coalesce(F.col("k") / F.col("pool"), F.lit(0.0)))
+    return j.select(key, "name", "own", "modal", (F.col("own") - F.col("modal")).alias("delta"), "share", ((F.col("share") < 0.2) & (F.col("own") != F.col("modal"))).alias("outlier"))
+
+
+def subgroups(pool: DataFrame, cards: DataFrame, signatures: DataFrame, by: str, board: str = "main") -> DataFrame:
+    """(by, signature, name, with_avg, without_avg, delta): mean copies of each card in the decks of a pool (by, deck) with and
+    without its signature card (by, signature); the decks of the group are the denominator."""
+    c = cards.where(F.col("board") == board).select(*_DECK, "name", "copies")
+    p = pool.select(by, *_DECK).distinct().join(signatures, by)
+    has = c.select(*_DECK, F.col("name").alias("signature"), F.lit(1).alias("has")).distinct()
+    p = p.join(has, [*_DECK, "signature"], "left").withColumn("has", F.coalesce("has", F.lit(0)))
+    n = p.groupBy(by, "signature").agg(F.sum("has").alias("n1"), F.sum(1 - F.col("has")).alias("n0"))
+    g = c.join(p, _DECK).groupBy(by, "name").agg(F.sum(F.when(F.col("has") == 1, F.col("copies"))).alias("c1"), F.sum(F.when(F.col("has") == 0, F.col("copies"))).alias("c0")).join(n, by)
+    avg = lambda x, y: F.coalesce(F.col(x) / F.nullif(F.col(y), F.lit(0)), F.lit(0.0))
+    return g.select(by, "signature", "name", avg("c1", "n1").alias("with_avg"), avg("c0", "n0").alias("without_avg")).withColumn("delta", F.col("with_avg") - F.col("without_avg"))
+
+
+def middle_cards(freq: DataFrame, by: str) -> DataFrame:
+    """(by, signature): of each pool the card whose inclusion is nearest to a half (ties by name)."""
+    g = freq.groupBy(by).agg(F.min(F.struct(F.round(F.abs(F.col("inclusion") - 0.5), 9).alias("d"), "name")).alias("m"))
+    return g.select(by, F.col("m.name").alias("signature"))
 
 
 def adjacency_all(decks: DataFrame, cards: DataFrame, cores: DataFrame, least: int = 5) -> DataFrame:
@@ -86,7 +88,7 @@ def tfidf(pool: DataFrame, cards: DataFrame, lo: float = 0.10, hi: float = 0.95,
     c = cards.join(member, _DECK)
     df = c.groupBy(*by, "name").agg(F.count_distinct(*_DECK).alias("df"))
     df = (df.join(n, by) if by else df.join(F.broadcast(n))).where((F.col("df") >= lo * F.col("n")) & (F.col("df") <= hi * F.col("n")))
-    w = c.join(df if by else F.broadcast(df), [*by, "name"]).select(*by, *_DECK, "name", (F.col("copies") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    w = c.join(df, [*by, "name"]).select(*by, *_DECK, "name", (F.col("copies") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = w.groupBy(*by, *_DECK).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
     return w.join(norm, [*by, *_DECK]).select(*by, *_DECK, "name", (F.col("w") / F.col("l")).alias("weight"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.stats import tier
 from tidemark.operators.matches import unique_names
@@ -78,12 +79,16 @@ def trends(decks: DataFrame, reg: DataFrame, min_events: int = 4, min_days: int
     return s.select("regime", "archetype", "n", "share", F.when(thin & (F.col("tier") == "established"), "evolving").otherwise(F.col("tier")).alias("tier"), thin.alias("thin"))
 
 
-def movers(trend: DataFrame, before: int, after: int, top: int = 10) -> DataFrame:
-    """The labels whose share changed most between two regimes; missing is 0, ties by name."""
-    a, b = (trend.where(F.col("regime") == k).select("archetype", F.col("share").alias(c)) for k, c in ((before, "share_before"), (after, "share_after")))
-    m = a.join(b, "archetype", "full").select("archetype", F.coalesce("share_before", F.lit(0.0)).alias("share_before"), F.coalesce("share_after", F.lit(0.0)).alias("share_after"))
+def movers(trend: DataFrame, top: int = 10) -> DataFrame:
+    """(regime, archetype, share_before, share_after, delta): the ``top`` labels whose share changed most from a regime to the
+    next one (regime is the later one); missing is 0, ties by name."""
+    a = trend.select((F.col("regime") + 1).alias("regime"), "archetype", F.col("share").alias("share_before"))
+    b = trend.select("regime", "archetype", F.col("share").alias("share_after"))
+    both = a.select("regime").distinct().join(b.select("regime").distinct(), "regime")  # regimes that follow another one
+    m = a.join(b, ["regime", "archetype"], "full").join(F.broadcast(both), "regime").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("share_before", "share_after")})
     m = m.withColumn("delta", F.round(F.col("share_after") - F.col("share_before"), 9))
-    return m.orderBy(F.abs("delta").desc(), "archetype").limit(top)
+    place = F.row_number().over(Window.partitionBy("regime").orderBy(F.abs("delta").desc(), "archetype"))
+    return m.withColumn("k", place).where(F.col("k") <= top).select("regime", "archetype", "share_before", "share_after", "delta")
 
 
 def venue_divergence(by_venue: DataFrame, venues: list[str], least: float = 0.0) -> DataFrame:

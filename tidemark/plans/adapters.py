@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.text import label_key, name_key, time_text
 from tidemark.operators.skew import latest_state
@@ -11,6 +12,8 @@ from tidemark.plans.sql import sql_label, sql_name, sql_time
 from tidemark.session import durable, exists, stored, table
 
 RESULTS = ("2-0", "2-1", "1-2", "0-2", "1-1", "2-1", "W-L")
+#: Keys of one range when seats are counted.
+KEY_RANGE = 65_536
 #: Dates that cut the corpus into regimes, as (date, card) of announcements.
 BANS = (("2023-03-01", "anvilcrown ravager"), ("2024-06-10", "marrowhorn conduit"), ("2025-05-20", "bramblehook basin"))
 
@@ -69,10 +72,15 @@ def rounds(d: DataFrame) -> DataFrame:
 
 
 def standings(d: DataFrame) -> DataFrame:
-    """tournament_id, rank, norm: seats in the order of deck_key."""
-    from pyspark.sql.window import Window
+    """tournament_id, rank, norm: seats in the order of deck_key.
 
-    return d.select("tournament_id", F.row_number().over(Window.partitionBy("tournament_id").orderBy("deck_key")).alias("rank"), "norm")
+    Ranks are counted inside ranges of keys and added up over the ranges before, so that no task holds a whole event.
+    """
+    x = d.select("tournament_id", "deck_key", "norm", F.floor(F.col("deck_key") / KEY_RANGE).alias("range"))
+    n = x.groupBy("tournament_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("tournament_id", "range", (F.sum("n").over(Window.partitionBy("tournament_id").orderBy("range")) - F.col("n")).alias("before"))
+    seat = F.row_number().over(Window.partitionBy("tournament_id", "range").orderBy("deck_key"))
+    return x.join(n, ["tournament_id", "range"]).select("tournament_id", (F.col("before") + seat).cast("int").alias("rank"), "norm")
 
 
 _T = f"(min({sql_time('date')}) AT TIME ZONE 'UTC')::DATE"

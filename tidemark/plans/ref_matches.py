@@ -117,7 +117,7 @@ def regime_trends(spark, sf):
 
 
 def biggest_movers(spark, sf):
-    return _r6(S.movers(S.trends(decks(spark, sf), _reg(spark)), 1, 2), "share_before", "share_after", "delta")
+    return _r6(S.movers(S.trends(decks(spark, sf), _reg(spark))), "share_before", "share_after", "delta")
 
 
 def venue_divergence(spark, sf):
@@ -257,7 +257,7 @@ CASE WHEN NOT mirror AND n > 0 THEN round(least(1::DOUBLE, (p + z * z / (2 * n)
     "win_rate_weighted_share": f"{_D}, {_SH}, w AS (SELECT archetype, mar.n, share * mar.wins / mar.n AS w FROM sh JOIN mar ON mar.a = archetype WHERE mar.n > 0) SELECT archetype, n, round(w / (SELECT sum(w) FROM w), 6) AS share FROM w",
     "blend_share": f"{_D}, {_VEN}, w AS (SELECT * FROM (VALUES ('online', 0.5::DOUBLE), ('paper', 0.3::DOUBLE), ('unknown', 0.2::DOUBLE)) AS v(provenance, w) WHERE provenance IN (SELECT provenance FROM vs)), x AS (SELECT archetype, sum(share * w / (SELECT sum(w) FROM w)) AS s FROM vs JOIN w USING (provenance) GROUP BY 1) SELECT archetype, round(s / (SELECT sum(s) FROM x), 6) AS share FROM x",
     "regime_trends": f"{_D}, {_TR} SELECT regime::INT AS regime, archetype, n, round(share, 6) AS share, CASE WHEN (events < 4 OR days < 14) AND n >= 100 THEN 'evolving' ELSE {_TIER.format('n')} END AS tier, events < 4 OR days < 14 AS thin FROM tr JOIN rs USING (regime)",
-    "biggest_movers": f"{_D}, {_TR}, mv AS (SELECT coalesce(x.archetype, y.archetype) AS archetype, coalesce(x.share, 0::DOUBLE) AS share_before, coalesce(y.share, 0::DOUBLE) AS share_after FROM (SELECT * FROM tr WHERE regime = 1) x FULL JOIN (SELECT * FROM tr WHERE regime = 2) y ON x.archetype = y.archetype) SELECT archetype, round(share_before, 6) AS share_before, round(share_after, 6) AS share_after, round(round(share_after - share_before, 9), 6) AS delta FROM mv ORDER BY abs(round(share_after - share_before, 9)) DESC, archetype LIMIT 10",
+    "biggest_movers": f"{_D}, {_TR}, rx AS (SELECT DISTINCT regime FROM tr), mv AS (SELECT coalesce(x.regime + 1, y.regime) AS regime, coalesce(x.archetype, y.archetype) AS archetype, coalesce(x.share, 0::DOUBLE) AS share_before, coalesce(y.share, 0::DOUBLE) AS share_after FROM tr x FULL JOIN tr y ON x.archetype = y.archetype AND y.regime = x.regime + 1), mk AS (SELECT *, round(share_after - share_before, 9) AS dl, row_number() OVER (PARTITION BY regime ORDER BY abs(round(share_after - share_before, 9)) DESC, archetype) AS k FROM mv WHERE regime IN (SELECT regime FROM rx) AND regime - 1 IN (SELECT regime FROM rx)) SELECT regime::INT AS regime, archetype, round(share_before, 6) AS share_before, round(share_after, 6) AS share_after, round(dl, 6) AS delta FROM mk WHERE k <= 10",
     "venue_divergence": f"{_D}, {_VEN}, al AS (SELECT DISTINCT archetype FROM vs), x AS (SELECT a.archetype, v.v, coalesce(s.share, 0::DOUBLE) AS share FROM al a CROSS JOIN (VALUES ('online'), ('paper'), ('unknown')) v(v) LEFT JOIN vs s ON s.archetype = a.archetype AND s.provenance = v.v), y AS (SELECT archetype, max(share) AS hi, min(share) AS lo FROM x GROUP BY 1) SELECT y.archetype, min(v) FILTER (WHERE share = hi) AS venue_hi, min(v) FILTER (WHERE share = lo) AS venue_lo, round(any_value(hi), 6) AS hi, round(any_value(lo), 6) AS lo, round(any_value(hi - lo), 6) AS spread FROM x JOIN y ON x.archetype = y.archetype GROUP BY 1",
     "tier_list": f"{_D}, {_SH} SELECT archetype, round(share, 6) AS share, CASE WHEN share >= 0.10 THEN 'S' WHEN share >= 0.05 THEN 'A' ELSE 'B' END AS grade FROM sh WHERE share >= 0.02",
     "weekly_share_ema": _D.replace("WITH tt AS", "WITH RECURSIVE tt AS", 1)
