@@ -171,5 +171,29 @@ def test_kneser_ney_sums_to_one():
     shared = toxicity.SharedBackoff(texts)
     m = toxicity.KneserNey(((t, 1.0) for t in texts), shared)
     words = ["a", "b", "c", "d", "</s>"]
-    assert 0.95 <= sum(m.p("a", "b", w) for w in words) <= 1.0 + 1e-9
+    assert abs(sum(m.p("a", "b", w) for w in [*words, "never seen"]) - 1.0) < 1e-9
     assert m.p("a", "b", "c") > m.p("a", "b", "a")
+
+
+def test_reviewers_choice_refutes_frequent_passages(spark):
+    """Passage 1 stands in 40 documents of which reviewers took one, as they do of ordinary ones; 2 in 12 of which they took 7;
+    3 in one that nobody looked at."""
+    found = [(i, [1]) for i in range(40)] + [(100 + i, [2]) for i in range(12)] + [(200, [3])] + [(1000 + i, []) for i in range(1000)]
+    f = spark.createDataFrame([(d, [{"key": k} for k in ks]) for d, ks in found], "doc int, found array<struct<key: bigint>>")
+    v = [(0, 1.0)] + [(100 + i, 1.0) for i in range(7)] + [(1000 + 25 * i, 0.0) for i in range(40)]
+    share = spark.createDataFrame(v, "doc int, share double")
+    assert [r["key"] for r in toxicity.refuted(f, share).collect()] == [1]
+    assert toxicity.refuted(f, share.where("false")).count() == 0 and toxicity.refuted(f.where("false"), share).count() == 0
+
+
+def test_planted_sentences_with_few_labels(spark):
+    """A third as many labels as documents, verdicts that err, decoys: precision and recall of at least 0.9."""
+    docs, truth, rnd = corpus(900, 7)
+    labels = [(i, truth.get(i, "none") if rnd.random() > 0.08 else rnd.choice(["none", "abuse"])) for i, _ in docs if rnd.random() < (0.5 if i in truth else 0.15)]
+    D = spark.createDataFrame([(i, t, "s") for i, t in docs], "id int, text string, source string")
+    L = spark.createDataFrame(labels, "id int, verdict string")
+    model = toxicity.train(D, "id", "text", L, "id", "verdict")
+    got = {r["doc"] for r in toxicity.scores(D, "id", "text", "source", model, toxicity.verdict_shares(L, "id", "verdict")).collect() if r["flagged"]}
+    assert len(got & set(truth)) >= 0.9 * len(truth) and len(got & set(truth)) >= 0.9 * len(got)
+    few = toxicity.train(D, "id", "text", L, "id", "verdict", max_characters=2_000)  # the budget bounds what is collected
+    assert isinstance(few, toxicity.Model)

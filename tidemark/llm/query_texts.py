@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.leakage import leaks
 from tidemark.llm.packing import pack
-from tidemark.llm.toxicity import scores, train
+from tidemark.llm.toxicity import scores, train, verdict_shares
 from tidemark.session import durable, table
 
 
@@ -67,8 +67,9 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
 def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document: score, toxic passages, scores by class, flag."""
     docs = table(spark, sf, "documents")
-    model = train(docs, "doc_id", "text", table(spark, sf, "review_labels"), "doc_id", "verdict")
-    return scores(docs, "doc_id", "text", "source", model).withColumnRenamed("doc", "doc_id")
+    labels = table(spark, sf, "review_labels")
+    model = train(docs, "doc_id", "text", labels, "doc_id", "verdict")
+    return scores(docs, "doc_id", "text", "source", model, verdict_shares(labels, "doc_id", "verdict")).withColumnRenamed("doc", "doc_id")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

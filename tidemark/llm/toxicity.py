@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import durable
+
 CLASSES = ("abuse", "hate", "sexual")
 #: At most so many labelled documents with so many characters together train the models, in order of the hash of
 #: their id; this bounds what the driver gets.
@@ -27,9 +30,11 @@ SUPPORT, FOR, AGAINST = 2, math.log(0.9 / 0.2), math.log(0.8 / 0.1)
 #: Frequent words that are always kept apart, and the word that stands for all that say nothing.
 FREQUENT, OTHER = 250, "<o>"
 #: A passage of at least so many words counts if its log-likelihood ratio reaches a total and a value per word.
-LEAST_WORDS, TOTAL, PER_WORD = 3, 12.0, 1.2
+LEAST_WORDS, TOTAL, PER_WORD = 3, 10.0, 0.9
 #: Fewer words than so many must reach a higher value each.
-FEW_WORDS, PER_FEW = 6, 4.5
+FEW_WORDS, PER_FEW = 6, 4.0
+#: Log odds from which the reviewers' choice of documents refutes a passage.
+REFUTED = 5.0
 #: The same in training, where held-out ratios are lower.
 TRAIN_TOTAL, TRAIN_PER_WORD = 5.0, 1.0
 
@@ -283,9 +288,9 @@ class Model:
     def is_toxic(total: float, words: int) -> bool:
         return words >= LEAST_WORDS and total >= TOTAL and total >= (PER_WORD if words >= FEW_WORDS else PER_FEW) * words
 
-    def score(self, text: str | None, remember: dict) -> tuple[float, int, dict[str, float]]:
-        """Highest ratio per word of a passage, number of toxic passages, and highest ratio of each class in these."""
-        best, n, classes = -99.0, 0, {c: 0.0 for c in CLASSES}
+    def score(self, text: str | None, remember: dict) -> tuple[float, list[tuple[int, float, float, float]]]:
+        """Highest ratio per word of a passage, and of each different toxic passage its key and its ratio per word by class."""
+        best, found = -99.0, {}
         for p in self.reader.passages(text):
             if len(p) < LEAST_WORDS:
                 continue
@@ -296,11 +301,10 @@ class Model:
                     remember.clear()
                 t = remember[k] = self.ratio.total(k)
             best = max(best, t / len(p))
-            if self.is_toxic(t, len(p)):
-                n += 1
-                for c in CLASSES:
-                    classes[c] = max(classes[c], self.by_class[c].total(k) / len(p))
-        return best, n, classes
+            if k not in found and self.is_toxic(t, len(p)):
+                key = int.from_bytes(hashlib.blake2b(" ".join(k).encode(), digest_size=8).digest(), "big", signed=True)
+                found[k] = (key, *[self.by_class[c].total(k) / len(p) for c in CLASSES])
+        return best, list(found.values())
 
 
 def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, verdict: str, max_labelled: int = MAX_LABELLED, max_characters: int = MAX_CHARACTERS) -> Model:
@@ -317,13 +321,9 @@ def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: st
     return Model([(r["text"], list(r["v"])) for r in d.orderBy("doc").select("text", "v").collect()])
 
 
-def scores(docs: DataFrame, doc: str, text: str, source: str, model: Model) -> DataFrame:
-    """(doc, source, score, passages, abuse, hate, sexual, flagged): one row per row of ``docs``.
-
-    score is the highest length-normalised log-likelihood ratio (toxic against ordinary, per word) of a passage of
-    at least three words; null if there is none, as in empty and null texts. flagged: at least one toxic passage.
-    The model is as large as the labelled sample and goes to the workers as a broadcast variable.
-    """
+def passages(docs: DataFrame, doc: str, text: str, source: str, model: Model) -> DataFrame:
+    """(doc, source, score, found): the highest length-normalised ratio of a passage of each row of ``docs`` and its
+    different toxic passages as (key, abuse, hate, sexual)."""
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # by value: workers need no copy of the package
     types = dict(docs.dtypes)
 
@@ -331,16 +331,54 @@ def scores(docs: DataFrame, doc: str, text: str, source: str, model: Model) -> D
         m, remember = pickle.loads(shared.value), {}
         for p in pdfs:
             out = [m.score(t, remember) for t in p["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc": p["doc"],
-                    "source": p["source"],
-                    "score": [s if s > -99 else None for s, _, _ in out],
-                    "passages": [n for _, n, _ in out],
-                    **{c: [x[c] if n else 0.0 for _, n, x in out] for c in CLASSES},
-                    "flagged": [n > 0 for _, n, _ in out],
-                }
-            )
+            found = [[dict(zip(("key", *CLASSES), x)) for x in f] for _, f in out]
+            yield pd.DataFrame({"doc": p["doc"], "source": p["source"], "score": [s if s > -99 else None for s, _ in out], "found": found})
 
     cols = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return cols.mapInPandas(run, f"doc {types[doc]}, source string, score double, passages int, abuse double, hate double, sexual double, flagged boolean")
+    each = ", ".join(f"{c}: double" for c in CLASSES)
+    return cols.mapInPandas(run, f"doc {types[doc]}, source string, score double, found array<struct<key: bigint, {each}>>")
+
+
+def refuted(found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(key): toxic-looking passages that the reviewers' choice of documents speaks against.
+
+    ``found``: (doc, found); ``verdicts``: (doc, share), the share of verdicts of a class among a document's. Reviewers look at
+    documents with toxic passages at another rate than at others. Both rates are measured, over all documents; a passage
+    whose documents were picked and judged as ordinary ones are, with odds of at least e**REFUTED, is none. A passage
+    that stands in few documents can't be refuted.
+    """
+    seen = found.groupBy("doc").agg(F.max(F.size("found")).alias("k"), F.flatten(F.collect_list("found")).alias("found")).join(verdicts, "doc", "left")
+    free = seen.where("k = 0").agg(F.count(F.lit(1)).alias("n"), F.count("share").alias("l")).first()
+    keys = seen.where("k > 0").select("doc", "share", F.explode(F.array_distinct(F.transform("found", lambda x: x["key"]))).alias("key"))
+    per = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("share") >= 0.5).alias("m"), F.count_if(F.col("share") < 0.5).alias("l"))
+    sure = per.where("m >= 2 and m > l").agg(F.sum("n").alias("n"), F.sum(F.col("m") + F.col("l")).alias("l")).first()
+    toxic, plain = (((x["l"] or 0) + 0.5) / ((x["n"] or 0) + 1) for x in (sure, free))
+    toxic, plain = min(toxic if sure["n"] else plain, 0.99), min(plain, 0.99)  # no sure passage: nothing to tell them apart
+    odds = F.col("m") * math.log(toxic * 0.9 / (plain * 0.1)) + F.col("l") * math.log(toxic * 0.1 / (plain * 0.9)) + (F.col("n") - F.col("m") - F.col("l")) * math.log((1 - toxic) / (1 - plain))
+    return per.where(odds < -REFUTED).select("key")
+
+
+def scores(docs: DataFrame, doc: str, text: str, source: str, model: Model, verdicts: DataFrame | None = None) -> DataFrame:
+    """(doc, source, score, passages, abuse, hate, sexual, flagged): one row per row of ``docs``.
+
+    score is the highest length-normalised log-likelihood ratio (toxic against ordinary, per word) of a passage of
+    at least three words; null if there is none, as in empty and null texts. flagged: at least one toxic passage that
+    ``verdicts`` (doc, share), if given, do not refute. The model is as large as the labelled sample and goes to the workers
+    as a broadcast variable.
+    """
+    p = passages(docs, doc, text, source, model)
+    if verdicts is not None:
+        p = durable(p)
+        gone = refuted(p, verdicts).agg(F.collect_list("key").alias("gone"))  # frequent passages with few verdicts: one row
+        p = p.join(F.broadcast(gone)).withColumn("found", F.filter("found", lambda x: ~F.array_contains("gone", x["key"]))).drop("gone")
+
+    def worst(c: str):
+        return F.coalesce(F.greatest(F.array_max(F.transform("found", lambda x: x[c])), F.lit(0.0)), F.lit(0.0)).alias(c)
+
+    return p.select("doc", "source", "score", F.size("found").alias("passages"), *[worst(c) for c in CLASSES], (F.size("found") > 0).alias("flagged"))
+
+
+def verdict_shares(labels: DataFrame, label_doc: str, verdict: str) -> DataFrame:
+    """(doc, share): of a document's readable verdicts, the share that names a class."""
+    v = labels.where(F.col(verdict).isNotNull() & F.col(label_doc).isNotNull())
+    return v.groupBy(F.col(label_doc).alias("doc")).agg(F.avg(F.lower(F.trim(F.col(verdict))).isin(*CLASSES).cast("int")).alias("share"))
