@@ -24,9 +24,10 @@ CLASSES = ("abuse", "hate", "sexual")
 MAX_LABELLED, MAX_CHARACTERS = 20_000, 80_000_000
 #: Absolute discount, rounds of weak supervision, and parts of the labelled documents for held-out scores in training.
 DISCOUNT, ROUNDS, FOLDS = 0.75, 3, 4
-#: Documents with a verdict that a word must stand in to say anything, and the weight of a passage's documents with
-#: and without a verdict: log odds of a verdict given a toxic passage (0.9) and none (0.2), and of no verdict.
-SUPPORT, FOR, AGAINST = 2, math.log(0.9 / 0.2), math.log(0.8 / 0.1)
+#: Documents with a verdict that a word must stand in to say anything, and how often reviewers are taken to find a
+#: toxic passage (how often a document gets a verdict without one is at most the share of all labelled documents), and log
+#: odds above which a passage is taken out of ordinary text from the start.
+SUPPORT, REVIEWED, CLEAR = 2, 0.9, 4.0
 #: Frequent words that are always kept apart, and the word that stands for all that say nothing.
 FREQUENT, OTHER = 250, "<o>"
 #: A passage of at least so many words counts if its log-likelihood ratio reaches a total and a value per word.
@@ -241,18 +242,21 @@ class Model:
             for p, (with_verdict, without, _) in t.items():
                 seen[p][0] += with_verdict
                 seen[p][1] += without
+        base = min(max((n_pos - 1) / max(1, n_pos + n_neg - 2), 0.02), 0.8)
+        speaks_for, against = math.log(REVIEWED / base), math.log((1 - base) / (1 - REVIEWED))
+        judged = {p: x[0] * speaks_for - x[1] * against for p, x in seen.items()}  # log odds by its documents' verdicts
         # Weak supervision: a verdict holds for a document, not for a passage. At first all passages of a document
         # with a verdict are toxic; then those that models of the other folds tell from ordinary ones. What looks
         # toxic without a verdict is left out of both sides, as is the rest of a document with one. A passage that
         # reviewers passed more often than not is not toxic, whatever it looks like.
         toxic = [set(t) for t in table]
-        ordinary = [set(t) for t in table]
+        ordinary = [{p for p in t if judged[p] <= CLEAR} for t in table]
         for _ in range(ROUNDS):
             found = []
             for f, t in enumerate(table):
                 ratio = self._fit(table, toxic, ordinary, [g for g in range(FOLDS) if g != f])
-                found.append({p for p in t if len(p) >= LEAST_WORDS and (x := ratio.total(p)) >= TRAIN_TOTAL and x >= TRAIN_PER_WORD * len(p) and seen[p][0] * FOR >= seen[p][1] * AGAINST})
-            toxic, ordinary = found, [set(t) - x for t, x in zip(table, found)]
+                found.append({p for p in t if len(p) >= LEAST_WORDS and (x := ratio.total(p)) >= TRAIN_TOTAL and x >= TRAIN_PER_WORD * len(p) and judged[p] >= 0})
+            toxic, ordinary = found, [{p for p in t if p not in x and judged[p] <= CLEAR} for t, x in zip(table, found)]
         # Only the words of toxic passages can speak for the class; all others become one word.
         support = Counter()
         for f in range(FOLDS):
