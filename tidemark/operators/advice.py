@@ -105,6 +105,41 @@ class Coverage:
                 k[e] += 1
         return out
 
+    def _answered(self, copies: dict[str, int]) -> dict[str, int]:
+        k: dict[str, int] = {}
+        for c, n in copies.items():
+            for e in self.covers.get(c, ()):
+                k[e] = k.get(e, 0) + n
+        return k
+
+    def hedge(self, core: dict[str, int], budget: int, blend: float = 0.4) -> dict[str, int]:
+        """Single copies of cards outside ``core`` for the slots it leaves, by marginal gain under weights blended towards
+        their mean (ties by name), while one gains."""
+        some = {e: w for e, w in self.weight.items() if w > 0}
+        if not some:
+            return {}
+        mean, k, out = sum(some.values()) / len(some), self._answered(core), {}
+        wide = {e: (1 - blend) * w + blend * mean for e, w in some.items()}
+        for _ in range(max(0, budget - sum(core.values()))):
+            gains = [(-round(sum(wide[e] * 0.5 ** (k.get(e, 0) + 1) for e in es if e in wide), 12), c) for c, es in self.covers.items() if c not in core and c not in out]
+            best = min(gains, default=(0.0, ""))
+            if best[0] >= 0:
+                break
+            out[best[1]] = 1
+            for e in self.covers[best[1]]:
+                k[e] = k.get(e, 0) + 1
+        return out
+
+    def considering(self, board: dict[str, int], cap: int = 15) -> list[tuple[str, float]]:
+        """Cards that would still gain beside a board, best first (ties by name), at most ``cap`` of them as a report."""
+        k = self._answered(board)
+        gains = [(c, sum(self.weight[e] * 0.5 ** (k.get(e, 0) + 1) for e in es)) for c, es in self.covers.items() if board.get(c, 0) < self.cap(c)]
+        return sorted(((c, g) for c, g in gains if g > 0), key=lambda x: (-round(x[1], 12), x[0]))[:cap]
+
+    def share_covered(self, board: dict[str, int]) -> float:
+        """Weight of the elements that any card of a board answers."""
+        return sum(self.weight[e] for e in self._answered(board))
+
     def undominated(self, budget: int) -> list[str]:
         """Cards that some best board may need. A card is left out if cards that answer all it answers (of equal ones,
         those before it by name) have ``budget`` copies together: one of them always has a copy to put in its place."""

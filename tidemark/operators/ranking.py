@@ -195,8 +195,8 @@ def nonland(deck: DataFrame, lands: DataFrame) -> DataFrame:
     return deck.join(lands.select("name").distinct(), "name", "left_anti")
 
 
-def share_bounds(field: DataFrame, quantile: float = 0.75, groups: DataFrame | None = None) -> DataFrame:
-    """(archetype or group, share, tail): upper quantile of the share under the field's Dirichlet draws: a Beta quantile of
+def share_bounds(field: DataFrame, quantile: float = 0.25, groups: DataFrame | None = None) -> DataFrame:
+    """(archetype or group, share, tail): lower quantile of the share under the field's Dirichlet draws: a Beta quantile of
     the label's, or of a group's summed, weight. ``groups``: (grp, archetype)."""
     from tidemark.functions.stats import beta_ppf
 

@@ -113,7 +113,7 @@ def card_adjusted_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def share_tails(spark: SparkSession, sf: str) -> DataFrame:
-    """Upper quartile of each label's share."""
+    """Lower quartile of each label's share."""
     _, _, _, f = _base(spark, sf)
     return _r(K.share_bounds(f), "share", "tail")
 
