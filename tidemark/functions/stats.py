@@ -140,13 +140,14 @@ def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
 
 
 def optimal_partition(cost, n: int, penalty: float, least: int) -> list[int]:
-    """Change points of the exact penalised segmentation; cost(i, j) is that of points i..j-1."""
+    """Change points of the exact penalised segmentation; cost(i, j) is that of points i..j-1, for an array of starts i."""
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
     best[0] = -penalty
     for j in range(least, n + 1):
-        for i in range(0, j - least + 1):
-            if np.isfinite(best[i]) and (v := best[i] + cost(i, j) + penalty) < best[j] - 1e-12:
-                best[j], back[j] = v, i
+        i = np.flatnonzero(np.isfinite(best[: j - least + 1]))
+        v = best[i] + cost(i, j) + penalty
+        k = int(np.flatnonzero(v <= v.min() + 1e-12)[0])  # the earliest of equal ones
+        best[j], back[j] = v[k], i[k]
     out, j = [], n
     while j > 0 and back[j] > 0:
         out.append(int(back[j]))
@@ -154,8 +155,18 @@ def optimal_partition(cost, n: int, penalty: float, least: int) -> list[int]:
     return sorted(out)
 
 
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers, by Stirling's series after a shift by seven."""
+    x = np.asarray(x, dtype=float)
+    y = x + 7
+    low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6))
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - low
+
+
 def _lbeta(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b) for a, b in zip(x, y)])
+    return lgamma(x) + lgamma(y) - lgamma(x + y)
 
 
 def bocpd_step(state: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, n: int, hazard: float = 1 / 25, a: float = 1.0, b: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

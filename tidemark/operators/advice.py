@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import shrink
+from tidemark.session import spread
 
 #: Concentration of share draws, prior of cell draws, strength of a cell without data; fixed values.
 GAMMA, PRIOR, NO_DATA = 0.5, 0.5, 2.0
@@ -70,7 +71,7 @@ def positioning_draws(cells: DataFrame, field: DataFrame, draws: int = 20_000, s
         s = (w * rate).sum(axis=1)
         return pd.DataFrame({"a": [a], "mean": [s.mean()], "lo": [np.quantile(s, 0.025)], "hi": [np.quantile(s, 0.975)], "quarter": [np.quantile(s, 0.25)]})
 
-    return cells.select("a", "b", "wins", "n").groupBy("a").applyInPandas(run, "a string, mean double, lo double, hi double, quarter double")
+    return spread(cells.select("a", "b", "wins", "n"), "a").groupBy("a").applyInPandas(run, "a string, mean double, lo double, hi double, quarter double")
 
 
 class Coverage:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.stats import tier
 from tidemark.operators.cards import centroids, nearest, tfidf
-from tidemark.session import durable
+from tidemark.session import durable, spread
 
 _DECK = ["tournament_id", "deck_idx"]
 #: Decks of a parent that the clusters are fitted on, resamples of the stability, and dimensions of the features.
@@ -164,7 +164,7 @@ def fit_camps(vectors: DataFrame, parent: str = "archetype", fit: int = FIT_DECK
         label = density_clusters(r, least, min(NEIGHBOURS, least)) if len(names) > 1 else np.full(len(keys), -1)
         return pd.DataFrame({"parent": [p[parent].iloc[0]], "tournaments": [[k[0] for k in keys]], "decks": [[int(k[1]) for k in keys]], "cluster": [label.tolist()], "points": [r.ravel().tolist()], "dims": [r.shape[1]], "least": [least]})
 
-    return rows.groupBy(parent).applyInPandas(run, "parent string, tournaments array<string>, decks array<int>, cluster array<int>, points array<double>, dims int, least int")
+    return spread(rows, parent).groupBy(parent).applyInPandas(run, "parent string, tournaments array<string>, decks array<int>, cluster array<int>, points array<double>, dims int, least int")
 
 
 def stability(fits: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
@@ -175,8 +175,8 @@ def stability(fits: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> Dat
             out = [_agreement(np.asarray(q, float).reshape(-1, d), np.asarray(c), k, seed + int(b) + 1) for q, d, c, k, b in zip(p["points"], p["dims"], p["cluster"], p["least"], p["b"])]
             yield pd.DataFrame({"parent": p["parent"], "agree": out})
 
-    some = fits.where(F.array_max("cluster") >= 0).select("parent", "points", "dims", "cluster", "least", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition("parent", "b")
-    return some.mapInPandas(run, "parent string, agree double").groupBy("parent").agg(F.coalesce(F.avg("agree"), F.lit(0.0)).alias("stability"))
+    some = fits.where(F.array_max("cluster") >= 0).select("parent", "points", "dims", "cluster", "least", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    return spread(some, "parent", "b").mapInPandas(run, "parent string, agree double").groupBy("parent").agg(F.coalesce(F.avg("agree"), F.lit(0.0)).alias("stability"))
 
 
 def members(fits: DataFrame) -> DataFrame:

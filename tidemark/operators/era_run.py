@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.stats import optimal_partition
 from tidemark.operators.eras import KERNEL_LEAST, KERNEL_PENALTY, SHARE_LEAST, SHARE_PENALTY, _entities, accept_fdr, presence_regimes, spans
+from tidemark.session import durable, spread
 
 # Fixed values of the run.
 FLEX_LOW, FLEX_HIGH, COMPOSITION_DECKS, PERMUTATIONS = 0.10, 0.95, 10, 199
@@ -94,7 +95,7 @@ def share_candidates(series: DataFrame, seed: int = 0) -> DataFrame:
             rows = [(p["entity"][0], p["start"][c], "share", None, abs(float(share[c:b].mean() - share[a:c].mean())), pv) for (c, pv), a, b in zip(found, edges, edges[2:])]
         return pd.DataFrame(rows, columns=["entity", "start", "signal", "name", "magnitude", "p"])
 
-    return series.groupBy("entity").applyInPandas(run, "entity string, start date, signal string, name string, magnitude double, p double")
+    return spread(series, "entity").groupBy("entity").applyInPandas(run, "entity string, start date, signal string, name string, magnitude double, p double")
 
 
 def composition_candidates(series: DataFrame, flex: DataFrame, seed: int = 0) -> DataFrame:
@@ -127,7 +128,7 @@ def composition_candidates(series: DataFrame, flex: DataFrame, seed: int = 0) ->
                 rows.append((p["entity"][0], p["start"][at], "composition", names[int(delta.argmax())], gain / whole if whole else gain, pv))
         return pd.DataFrame(rows, columns=["entity", "start", "signal", "name", "magnitude", "p"])
 
-    return rows.groupBy("entity").applyInPandas(run, "entity string, start date, signal string, name string, magnitude double, p double")
+    return spread(rows, "entity").groupBy("entity").applyInPandas(run, "entity string, start date, signal string, name string, magnitude double, p double")
 
 
 def presence_candidates(decks: DataFrame, cards: DataFrame) -> DataFrame:
@@ -249,8 +250,6 @@ def field_era(decks: DataFrame, eras: DataFrame, regime_start, least_share: floa
 def run(decks: DataFrame, cards: DataFrame, results: DataFrame, events: DataFrame, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(entity, parent, stable_since, inherited, boundaries): the whole pipeline. boundaries is an array of (start, p,
     accepted, kind, card, corroborated)."""
-    from tidemark.session import durable
-
     decks = durable(decks)
     series = durable(entity_series(decks))
     cands = presence_candidates(decks, cards).unionByName(share_candidates(series, seed)).unionByName(composition_candidates(series, flex_series(decks, cards), seed))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.stats import bocpd, fisher_udf, optimal_partition
+from tidemark.session import spread
 
 # Fixed values of the detectors.
 PRESENT, ABSENT = 0.25, 0.05
@@ -104,7 +105,7 @@ def _share(p: pd.DataFrame) -> pd.DataFrame:
 def share_breaks(series: DataFrame) -> DataFrame:
     """(entity, start, before, after): breaks of an entity's arcsine share, exact penalised segmentation per entity.
     A series has one point per bucket, so a task holds few rows whatever the number of decks."""
-    return series.groupBy("entity").applyInPandas(_share, "entity string, start date, before double, after double")
+    return spread(series, "entity").groupBy("entity").applyInPandas(_share, "entity string, start date, before double, after double")
 
 
 def _alarm(p: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +117,7 @@ def _alarm(p: pd.DataFrame) -> pd.DataFrame:
 def drift_alarms(series: DataFrame, least_share: float = 0.02) -> DataFrame:
     """(entity, p_change, alarm): highest probability of a fresh run in the last three buckets; alarm from 0.5 if the
     recent share is worth it."""
-    probs = series.groupBy("entity").applyInPandas(_alarm, "entity string, start date, p_change double")
+    probs = spread(series, "entity").groupBy("entity").applyInPandas(_alarm, "entity string, start date, p_change double")
     last = Window.partitionBy("entity").orderBy(F.col("start").desc())
     x = probs.join(series, ["entity", "start"]).withColumn("k", F.row_number().over(last)).where("k <= 3")
     x = x.groupBy("entity").agg(F.max("p_change").alias("p_change"), (F.sum("decks") / F.sum("field_decks")).alias("share"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.stats import shrink
 from tidemark.operators.advice import GAMMA, NO_DATA, PRIOR
 from tidemark.operators.matrix import SHOWN
+from tidemark.session import spread
 
 # Fixed values.
 NUDGE_MOST, NUDGE_SCALE, RISK_QUANTILE, RESTRICT_UNDER = 0.05, 0.5, 0.25, 0.85
@@ -82,7 +83,7 @@ def score_draws(cells: DataFrame, field: DataFrame, draws: int = 20_000, seed: i
                 rate[:, i] = rng.beta(NO_DATA * centre, NO_DATA * (1 - centre), draws)
         return pd.DataFrame({"a": [a], "s": [(w * rate).sum(axis=1)]})
 
-    return cells.select("a", "b", "wins", "n").groupBy("a").applyInPandas(run, "a string, s array<double>")
+    return spread(cells.select("a", "b", "wins", "n"), "a").groupBy("a").applyInPandas(run, "a string, s array<double>")
 
 
 def rank_decks(draws: DataFrame, quantile: float = RISK_QUANTILE) -> DataFrame:

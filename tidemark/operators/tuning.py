@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import spread
+
 # Fixed values.
 LOCKED, LEAST_GAIN, RESISTANCE, ROUNDS, MOST_COPIES = 0.65, 0.02, 0.08, 8, 4
 BORROWED, OWN, EACH = 0.65, 0.35, 0.25
@@ -58,7 +60,7 @@ def tune(parts: DataFrame, pool: DataFrame, values: DataFrame, by: str = "archet
             out.append((p[by].iloc[0], r, cut, add, -gain))
         return pd.DataFrame(out, columns=[by, "round", "cut", "added", "gain"])
 
-    return rows.unionByName(more).groupBy(by).applyInPandas(run, f"{by} string, round int, cut string, added string, gain double")
+    return spread(rows.unionByName(more), by).groupBy(by).applyInPandas(run, f"{by} string, round int, cut string, added string, gain double")
 
 
 def grounded_cells(windowed: DataFrame, full: DataFrame, least: int = 8) -> DataFrame:

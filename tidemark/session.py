@@ -75,5 +75,11 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """For a Python function per group: two tasks a core, whatever the size in bytes. Adaptive execution sizes tasks by
+    bytes and would give a small table with a costly function to one task."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
