@@ -140,3 +140,24 @@ def test_failed_run_leaves_nothing_that_counts(spark, tmp_path):
     assert events.read_silver(spark, store, "tournaments").first()["format"] == "Legacy"
     assert events.same_rows(events.read_silver(spark, store, "decks"), tables["decks"])
     assert not events.same_rows(events.read_silver(spark, store, "decks").where("false"), tables["decks"])
+
+
+def test_condition_counts_equal_conditions_per_deck(spark):
+    data = [
+        ("t", 0, "main", "a", 4), ("t", 0, "side", "a", 1), ("t", 0, "side", "b", 1), ("t", 1, "main", "b", 1), ("t", 1, "main", "c", 1), ("t", 2, "other", "a", 1), ("t", 3, "side", "c", 2), ("t", 3, "main", "z", 2), (None, None, "main", "a", 1), ("u", 0, "main", "z", 1),
+    ]
+    c = spark.createDataFrame(data, CARD)
+    lists = [("x", ["a", "b", "c"]), ("y", ["c"]), ("none", []), ("far", ["q"])]
+    rows = spark.createDataFrame([(n, k, x) for n, x in lists for k in L.CONDITIONS], "label string, type string, cards array<string>")
+    met = L.deck_lists(c).crossJoin(rows).where(L.condition(F.col("type"), F.col("cards"), F.col("main"), F.col("side")))
+    want = {(r["label"], r["type"]): r["count"] for r in met.groupBy("label", "type").count().collect()}
+    got = {(r["label"], r["type"]): r["decks"] for r in L.condition_counts(c, lists).collect()}
+    assert got == want and got["none", "InMainboard"] == 6 and got["far", "DoesNotContain"] == 6 and ("far", "InMainboard") not in got
+    assert L.condition_counts(c.where("false"), lists).count() == 0
+
+
+def test_label_conditions_try_no_rule_on_every_deck(spark):
+    from tidemark.plans import ref_labels
+
+    q = ref_labels.label_conditions(spark, "/root/testdata/sf0.001")
+    assert "lambda" not in q._jdf.queryExecution().analyzed().toString()

@@ -87,6 +87,29 @@ def deck_lists(cards: DataFrame) -> DataFrame:
     return cards.groupBy("tournament_id", "deck_idx").agg(pick("main").alias("main"), pick("side").alias("side"))
 
 
+def condition_counts(cards: DataFrame, lists: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """(label, type, decks): how many decks meet each type of condition over each list of names; none without a deck.
+
+    The same as ``condition`` for every deck, list and type, but a deck is only ever joined with the lists of which it
+    holds a name: what is met without one (an empty list, the negative types) follows from the number of all decks.
+    """
+    spark, key = cards.sparkSession, ["tournament_id", "deck_idx"]
+    every = cards.select(*key).distinct().agg(F.count(F.lit(1)).alias("n"))
+    of = spark.createDataFrame([(o, label, len(names)) for o, (label, names) in enumerate(lists)], "o int, label string, size int")
+    names = spark.createDataFrame([(o, i, x) for o, (_, names) in enumerate(lists) for i, x in enumerate(names)], "o int, i int, name string")
+    held = cards.where(F.col("board").isin("main", "side")).join(F.broadcast(names), "name").select(*key, "o", "i", (F.col("board") == "main").alias("main")).distinct()  # lists are curated
+    yes = lambda c: F.sum(c.cast("int"))
+    first, main = F.col("i") == 0, F.col("main")
+    deck = held.groupBy(*key, "o").agg(F.max(first & main).alias("a"), F.max(first & ~main).alias("b"), yes(main).alias("m"), yes(~main).alias("s"))
+    a, b, m, s = (F.col(c) for c in "abms")
+    met = (a, b, a | b, a | b, a, b, m >= 1, s >= 1, m + s >= 1, m >= 2, s >= 2, m + s >= 2)
+    some = deck.groupBy("o").agg(*[yes(x).alias(k) for k, x in zip(CONDITIONS, met)])
+    all_ = of.join(some, "o", "left").join(F.broadcast(every))  # one row
+    count = lambda k: F.when(F.col("size") == 0, F.col("n")).otherwise(F.col("n") - F.coalesce(k, F.lit(0)) if k.startswith("DoesNot") else F.coalesce(k, F.lit(0)))
+    rows = all_.select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("type"), count(k).alias("decks")) for k in CONDITIONS])).alias("r"))
+    return rows.groupBy("label", F.col("r.type").alias("type")).agg(F.sum("r.decks").alias("decks")).where("decks > 0")
+
+
 def guild(colors: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in COMBINATIONS.items() for x in kv])
     return F.coalesce(F.element_at(table, colors), colors)

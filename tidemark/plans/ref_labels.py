@@ -35,11 +35,7 @@ def _rules(spark: SparkSession, sf: str) -> list[dict]:
 
 def label_conditions(spark: SparkSession, sf: str) -> DataFrame:
     """Decks that meet each type of condition over the core of each composition."""
-    d = L.deck_lists(cards(spark, sf))
-    rows = spark.createDataFrame([(n, k, c) for n, c in _cores(spark, sf) for k in L.CONDITIONS], "label string, type string, cards array<string>")
-    all_conditions = rows.agg(F.collect_list(F.struct("label", "type", "cards")).alias("rules"))  # a curated list in one row
-    met = d.join(F.broadcast(all_conditions)).select(F.explode(F.filter("rules", lambda r: L.condition(r["type"], r["cards"], F.col("main"), F.col("side")))).alias("r"))
-    return met.groupBy(F.col("r.label").alias("label"), F.col("r.type").alias("type")).agg(F.count(F.lit(1)).alias("decks"))
+    return L.condition_counts(cards(spark, sf), _cores(spark, sf))
 
 
 def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
