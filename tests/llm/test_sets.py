@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tests.oracle import compare
 from tidemark.llm import aliases, cooccur, density, pairwise, setjoin
-from tidemark.llm.sets import record_sets
+from tidemark.llm.sets import coded_sets, record_sets
+from tidemark.session import ensure_checkpoint_dir
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -112,6 +115,49 @@ def test_copies_are_one_class(spark):
     assert setjoin.similar_pairs(deck_sets(spark, data)).count() == 50 * 49 // 2
 
 
+def test_rounds_and_chunks_find_the_same_pairs(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(24)]
+    data = [(n, base[: rnd.randrange(20, 25)] + [f"o{rnd.randrange(40)}" for _ in range(rnd.randrange(1, 6))], None, None) for n in range(400)]  # few segments hold nearly all
+    s = deck_sets(spark, data)
+    whole = rows(setjoin.similar_pairs(s), "key_a", "key_b", "similarity")
+    monkeypatch.setattr(setjoin, "SEGMENT_ROWS", 30)
+    monkeypatch.setattr(setjoin, "ROUND_ROWS", 3_000)
+    assert rows(setjoin.similar_pairs(s), "key_a", "key_b", "similarity") == whole and len(whole) > 1000
+
+
+def disk_files(spark):
+    """Files of shuffles in this process; tables in the checkpoint folder."""
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return kept, set(os.listdir(folder))
+
+
+def test_set_join_leaves_no_rounds_on_disk(spark):
+    """Of a set join only its two results stay on the disk, neither shuffle files nor the tables between."""
+    spark._jvm.System.gc()
+    s = deck_sets(spark, [(i, [f"c{(i * k) % 97}" for k in range(1, 25)], None, None) for i in range(2000)])
+    before = disk_files(spark)
+    kept = setjoin.similar_classes(s)
+    for _ in range(50):
+        after = disk_files(spark)
+        if after[0] <= before[0] + 20:
+            break
+        time.sleep(0.2)
+    assert after[0] <= before[0] + 20 and len(after[1] - before[1]) == 2 and len(kept) == 2
+
+
+def test_coded_sets_equal_named_ones(spark, monkeypatch):
+    data = [(1, [" Éa", "b", "EA", None, ""], None, None), (1, ["z"], None, None), (2, None, None, None), (3, [], None, None), (None, ["q"], None, None), (4, ["B", "é a"], None, None), (5, ["", " "], None, None)]
+    df = spark.createDataFrame(data, "k int, cards array<string>, key string, items int")
+    want = {r["key"]: r["items"] for r in record_sets(df, "k", "cards").collect()}
+    coded, names, hashes = coded_sets(df, "k", "cards")
+    assert {r["key"]: [names[i] for i in r["items"]] for r in coded.collect()} == want and len(hashes) == len(names)
+    monkeypatch.setattr("tidemark.llm.sets.SPELLINGS", 2)
+    same, names, _ = coded_sets(df, "k", "cards")
+    assert names is None and {r["key"]: r["items"] for r in same.collect()} == want
+
+
 # --- items together ---
 def brute_pairs(baskets, least, share, lift):
     n = len(baskets)
