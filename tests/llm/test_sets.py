@@ -228,6 +228,20 @@ def test_small_groups_among_many_records(spark):
     assert sum(got.get(k) == first[g] for k, g in truth.items()) >= 0.98 * len(truth) and all(k in truth for k in got)
 
 
+def test_rounds_of_grids_find_the_same_groups(spark, monkeypatch):
+    """Rounds change nothing, and none of the tables of a round's cells stay on the disk."""
+    rnd = random.Random(8)
+    data = [(n, [f"c{n % 2}-{k}" for k in range(10)] + [f"p{rnd.randrange(900)}" for _ in range(9)], None, None) for n in range(40)]
+    s = deck_sets(spark, data)
+    before = disk_files(spark)[1]
+    whole = rows(density.core_groups(s)[0], "key", "cluster_key")
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    new = [spark.read.parquet(f"file:{folder}/{x}").columns for x in disk_files(spark)[1] - before]
+    assert new and not any("cell" in c and "n" in c for c in new)
+    monkeypatch.setattr(density, "ROUND_ROWS", 1_280)
+    assert rows(density.core_groups(s)[0], "key", "cluster_key") == whole and len(whole) == 40
+
+
 # --- aliases ---
 def test_lcs_ratio_against_table():
     def lcs(a, b):
